@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import docquill.llm
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
@@ -38,6 +44,11 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def checked_broadcast(ids: DataFrame, most: int = 400_000) -> DataFrame:
+    """ids, one column of 8 bytes, marked for broadcast only if it has at most ``most`` rows."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def connected_components(edges: DataFrame, work: str) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is the smallest node reachable.
 
@@ -72,3 +83,25 @@ def connected_components(edges: DataFrame, work: str) -> DataFrame:
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )
+
+
+def worker_state() -> dict:
+    """A dictionary that lives as long as the Python worker, for caches that later tasks may use again."""
+    return sys.modules.setdefault("_docquill_worker_state", types.ModuleType("_docquill_worker_state")).__dict__
+
+
+def filesystem(uri: str):
+    """(Arrow file system, path) of a folder's URI."""
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def put(store, path: str, data: bytes) -> None:
+    """Writes a file under another name, then renames it: a repeated task replaces it by equal bytes."""
+    part = f"{path}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as f:
+        f.write(data)
+    store.move(part, path)
+
+
+# Functions of this subpackage travel to executors by value, so that these need not have it installed.
+cloudpickle.register_pickle_by_value(docquill.llm)

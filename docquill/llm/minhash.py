@@ -9,7 +9,7 @@
    the 42 buckets with probability 2e-8. Sets of up to ``SMALL`` shingles use exact prefix filtering
    instead: two sets at or over the threshold always share one of their first shingles.
 5. A bucket proposes a star: each member with the smallest member. Pairs are confirmed on full sets.
-   Buckets whose members still lie in several components get more centres, twice as many each round,
+   Buckets whose members still lie in several components get more centres, four times as many each round,
    until every pair in them was confirmed, refused, or made needless by a common component.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquill.llm.common import ASCII_LOWER, ASCII_UPPER, connected_components, remove, saved, shared_dir
+from docquill.llm.common import ASCII_LOWER, ASCII_UPPER, checked_broadcast, connected_components, remove, saved, shared_dir
 
 WORDS, BINS_LOG2, ROWS, SMALL, PROBES, SALTS = 5, 7, 3, 24, 6, 8
 BINS = 1 << BINS_LOG2
@@ -53,9 +53,11 @@ def _bands(sets: DataFrame, num: int, den: int) -> DataFrame:
     g = F.col("grams")
     first = F.filter(g, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(g, i - 1))))
     df = sets.withColumn("first", F.when(F.size(g) > SMALL, first))
-    got = F.map_from_arrays(F.transform("first", _bin), F.col("first"))
     full = F.size("first") == BINS
-    df = df.withColumn("sparse", F.when(~full, F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.try_element_at(got, b.cast("bigint")))))
+    df = df.withColumn("at", F.when(~full, F.map_from_arrays(F.transform("first", _bin), F.col("first"))))
+    # used twice, "at" stays a column of its own; used once, it would be built again for every bin
+    dense = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.try_element_at(F.col("at"), b.cast("bigint")))
+    df = df.withColumn("sparse", F.when(F.col("at").isNotNull(), dense))
 
     def borrowed(v: Column, b: Column) -> Column:
         probes = [F.get("sparse", F.pmod(F.xxhash64(F.lit(p), b), F.lit(BINS)).cast("int")) for p in range(1, PROBES + 1)]
@@ -71,7 +73,7 @@ def _bands(sets: DataFrame, num: int, den: int) -> DataFrame:
     exact = F.when((n > 0) & (n * num <= SMALL * den), F.slice(g, 1, F.greatest(prefix, F.lit(1))))
     none = F.array().cast("array<bigint>")
     keys = F.concat(F.coalesce(F.when(n > SMALL, bands), none), F.coalesce(exact, none))
-    return df.withColumn("keys", F.array_distinct(keys)).drop("first", "sparse", "dense")
+    return df.withColumn("keys", F.array_distinct(keys)).drop("first", "at", "sparse", "dense")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -109,7 +111,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = bucket.groupBy("key").agg(F.min("id").alias("v"), F.min("n").alias("small"), F.max("n").alias("big"), F.count(F.lit(1)).alias("c"))
     shared = shared.where("c > 1").select("key", "v")
     bucket = saved(bucket.join(shared, "key"), f"{work}/buckets")
-    rep_sets = shingle_sets(base.join(bucket.select("id").distinct(), "id", "left_semi"), "id", "text")
+    members = checked_broadcast(saved(bucket.select("id").distinct(), f"{work}/members"))
+    rep_sets = saved(shingle_sets(base.join(members, "id", "left_semi"), "id", "text"), f"{work}/sets", "uncompressed")
 
     centre = bucket.where("id = v").select("key", F.col("n").alias("nv"))
     fits = F.least("n", "nv") * den >= F.greatest("n", "nv") * num
@@ -125,15 +128,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ranked = named.join(split, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")))
         step += 1
         ranked = saved(ranked, f"{work}/ranked-{step}")
-        top = done + (1 << step)
+        top = done + (1 << 2 * step)
         hub = ranked.where((F.col("rank") > done) & (F.col("rank") <= top)).select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("rank").alias("rv"))
         more = ranked.join(hub, "key").where((F.col("rank") > F.col("rv")) & (F.col("component") != F.col("cv")) & fits)
         more = more.select(F.col("id").alias("u"), "v").distinct().join(tested, ["u", "v"], "left_anti")
         more = saved(more, f"{work}/pairs-{step}")
         left = ranked.agg(F.max("rank")).first()[0] or 0
-        if not more.isEmpty():
+        fresh = not more.isEmpty()
+        if fresh:
             found = saved(_confirmed(more, rep_sets, num, den), f"{work}/links-{step}")
-            links, tested = links.union(found), tested.union(more)
+            tested = tested.union(more)
+        if fresh and not found.isEmpty():
+            links = links.union(found)
             parts = saved(connected_components(links, f"{work}/parts-{step}"), f"{work}/parts-{step}/out")
         done = top
         if left <= done:
@@ -151,6 +157,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), part).alias("component_id")
     )
     out = saved(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), f"{work}/out")
-    for name in ("facts", "reps", "buckets", *(f"{x}-{k}" for k in range(step + 1) for x in ("pairs", "links", "parts", "ranked"))):
+    for name in ("facts", "reps", "buckets", "members", "sets", *(f"{x}-{k}" for k in range(step + 1) for x in ("pairs", "links", "parts", "ranked"))):
         remove(spark, f"{work}/{name}")
     return out
