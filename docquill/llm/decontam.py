@@ -77,12 +77,12 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Counts and locates patterns without 0 in a sequence that ends with 0."""
+    """Counts and locates patterns without 0 in a sequence that ends with 0; all symbols are at most ``largest``."""
 
-    def __init__(self, seq: np.ndarray, sample: int = SAMPLE):
+    def __init__(self, seq: np.ndarray, largest: int, sample: int = SAMPLE):
         order = suffix_array(seq)
         before = seq[order - 1]  # position 0 follows the last separator
-        self.levels, self.bits = [], max(1, int(seq.max()).bit_length())
+        self.levels, self.bits = [], max(1, largest.bit_length())
         own = before
         for level in reversed(range(self.bits)):
             bit = (own >> level) & 1
@@ -153,7 +153,7 @@ def occurrences(words: list[list[bytes]], windows: Windows) -> tuple[np.ndarray,
     source = np.repeat(start - ends + size, size) + np.arange(ends[-1])
     seq = ids[source].astype(np.int64)
     seq[ends - 1] = 0
-    index = FMIndex(seq)
+    index = FMIndex(seq, len(windows.vocab))
     positions, found = [], []
     for which, patterns in windows.by_size.values():
         low, high = index.search(patterns)
