@@ -129,8 +129,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         step += 1
         ranked = saved(ranked, f"{work}/ranked-{step}")
         top = done + (1 << 2 * step)
-        hub = ranked.where((F.col("rank") > done) & (F.col("rank") <= top)).select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("rank").alias("rv"))
-        more = ranked.join(hub, "key").where((F.col("rank") > F.col("rv")) & (F.col("component") != F.col("cv")) & fits)
+        # a bucket's largest component can hold most of it: its rows meet only centres of the others
+        main = ranked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+        ranked = saved(ranked.join(main, "key").withColumn("main", F.col("component") == F.col("main")), f"{work}/split-{step}")
+        hub = ranked.where((F.col("rank") > done) & (F.col("rank") <= top)).select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("rank").alias("rv"), F.col("main").alias("mv"))
+        met = ranked.where("not main").join(hub, "key").unionByName(ranked.where("main").join(hub.where("not mv"), "key"))
+        more = met.where((F.col("rank") > F.col("rv")) & (F.col("component") != F.col("cv")) & fits)
         more = more.select(F.col("id").alias("u"), "v").distinct().join(tested, ["u", "v"], "left_anti")
         more = saved(more, f"{work}/pairs-{step}")
         left = ranked.agg(F.max("rank")).first()[0] or 0
@@ -157,6 +161,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), part).alias("component_id")
     )
     out = saved(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), f"{work}/out")
-    for name in ("facts", "reps", "buckets", "members", "sets", *(f"{x}-{k}" for k in range(step + 1) for x in ("pairs", "links", "parts", "ranked"))):
+    for name in ("facts", "reps", "buckets", "members", "sets", *(f"{x}-{k}" for k in range(step + 1) for x in ("pairs", "links", "parts", "ranked", "split"))):
         remove(spark, f"{work}/{name}")
     return out
