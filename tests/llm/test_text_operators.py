@@ -13,9 +13,9 @@ from tokenizers import Tokenizer
 
 from docquill.llm import decontam, huffman, langid, lines, minhash, mixing, privacy, quality, token_files
 from docquill.llm.common import connected_components, shared_dir
+from tests_llm_rules import plain_hits, shingle_parts, shingles
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = [
     (1, "", "en", "s", 0), (2, None, None, None, None), (3, "one two", "en", "s", 7), (3, "one two", "en", "s", 7), (None, "one two", "en", "s", 7),
     (4, " \n\t", "fr", "", 3), (5, "é É <|endoftext|> don't \x1c İx ½ ﬁ é 日本語 12 '' !!", "fr", "t", 9), (6, "word " * 30_000, "en", "s", 150_000),
@@ -30,28 +30,6 @@ def frame(spark, rows):
     return df
 
 
-def words5(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
-
-
-def shingles(text):
-    w = words5(text)
-    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-
-
-def components(sets):
-    ids = sorted(sets)
-    part = {i: i for i in ids}
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b]:
-                both = len(sets[a] & sets[b])
-                if 100 * both >= 70 * (len(sets[a]) + len(sets[b]) - both):
-                    x, y = part[a], part[b]
-                    part = {k: min(x, y) if v in (x, y) else v for k, v in part.items()}
-    return part
-
-
 def noisy(rng, text, share):
     w = text.split()
     for _ in range(max(1, int(len(w) * share))):
@@ -80,7 +58,7 @@ def corpus():
 def test_near_duplicates_against_brute_force(spark, corpus):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, corpus)).collect()}
     sets = {r[0]: shingles(r[1]) for r in corpus}
-    part = components(sets)
+    part = shingle_parts({r[0]: r[1] for r in corpus})
     assert got == {i: (len(s), part[i], part[i] == i) for i, s in sets.items()}
 
 
@@ -159,21 +137,6 @@ def test_word_cache_limits(monkeypatch):
         assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def plain_hits(text, items):
-    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOW))
-    own, hit, found = words(text), set(), set()
-    for item, t in items:
-        w = words(t)
-        size = min(10, len(w))
-        for k in range(max(1, len(w) - 9) if w else 0):
-            for p in range(len(own) - size + 1):
-                if own[p : p + size] == w[k : k + size]:
-                    hit.update(range(p, p + size))
-                    if item is not None:
-                        found.add(str(item))
-    return len(own), len(hit), sorted(found)
-
-
 def test_decontamination(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 150)
     rng = random.Random(4)
