@@ -189,7 +189,7 @@ def compare(column: Column, kind: T.DataType, op: str, value: Any) -> Column:
             found = F.when(ms.isNotNull(), apply(op, ms, F.lit(parse_ms(value) if isinstance(value, str) else int(value.timestamp() * 1000)))).otherwise(other)
             return column.isNotNull() & found
         if rank != STRING:
-            return decided(STRING) if rank < TIME else decided(STRING)
+            return decided(STRING)
         plain = apply(op, column, F.lit(value if isinstance(value, str) else json_literal(value)))
         if op in ("$eq", "$ne"):  # a date-like string equals no other string, so this can reach the scan
             return plain
@@ -199,6 +199,21 @@ def compare(column: Column, kind: T.DataType, op: str, value: Any) -> Column:
     return apply(op, F.to_json(column), F.lit(value if isinstance(value, str) else json_literal(value, kind)))
 
 
+def same_kind(kind: T.DataType, value: Any) -> bool:
+    """Whether a column of a type can hold a JSON value as it is."""
+    if value is None or isinstance(kind, T.VariantType):
+        return True
+    if isinstance(value, bool) or isinstance(kind, T.BooleanType):
+        return isinstance(value, bool) and isinstance(kind, T.BooleanType)
+    if isinstance(value, int | float) or is_number(kind):
+        return isinstance(value, int | float) and is_number(kind)
+    if isinstance(value, list) or isinstance(kind, T.ArrayType):
+        return isinstance(value, list) and isinstance(kind, T.ArrayType) and all(same_kind(kind.elementType, v) for v in value)
+    if isinstance(value, dict) or isinstance(kind, T.StructType):
+        return isinstance(value, dict) and isinstance(kind, T.StructType) and all(k in kind.fieldNames() and same_kind(kind[k].dataType, v) for k, v in value.items())
+    return isinstance(kind, T.StringType) or (is_time(kind) and rank_of_literal(value) == TIME)
+
+
 def number(column: Column, kind: T.DataType) -> Column:
     """The value as a double where it is a number, else NULL; nothing else turns into a number."""
     if is_number(kind):

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,6 +138,22 @@ def convert(column: Column, old: T.DataType, new: T.DataType) -> Column:
     return column.cast(new)
 
 
+def numbered(df: DataFrame, name: str, first: int, folder: str) -> DataFrame:
+    """df with consecutive numbers from ``first`` in a column, in the order of its partitions.
+
+    The rows are written once with Spark's own row ids, so that numbers don't change when a task is repeated;
+    the count of each partition then gives the gaps to close.
+    """
+    df.withColumn("_at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(folder)
+    rows = df.sparkSession.read.parquet(folder)
+    part = F.shiftright("_at", 33).alias("_part")
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))  # a row per partition
+    out = rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return out.withColumn(name, F.lit(first) + F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
+
+
 class Collection:
     """One collection below a database folder."""
 
@@ -175,11 +191,12 @@ class Collection:
 
     def _log(self, m: Manifest, folder: str, operation: str, ids: DataFrame, tx_id: str | None) -> tuple[int, tuple[str, ...]]:
         """Writes the change events of ids (_id, document); returns the next last token and the folders."""
-        rows = ids.select("_id", "document").orderBy("_id")
-        numbered = rows.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1]))
-        events = self.spark.createDataFrame(numbered, "i bigint, doc_id bigint, document string")
-        events = events.select((F.col("i") + m.token + 1).alias("token"), F.lit(operation).alias("operation"), F.lit(self.name).alias("collection"), "doc_id", "document", F.lit(tx_id).cast("string").alias("tx_id"))
+        rows = ids.select(F.col("_id").alias("doc_id"), "document").orderBy("_id")
+        staged = f"{self.files.root}/.t-{folder}"
+        events = numbered(rows, "token", m.token + 1, staged)
+        events = events.select("token", F.lit(operation).alias("operation"), F.lit(self.name).alias("collection"), "doc_id", "document", F.lit(tx_id).cast("string").alias("tx_id"))
         events.write.mode("overwrite").parquet(f"{self.files.root}/{folder}")
+        self.files.remove(f".t-{folder}")
         n = self.spark.read.schema(CHANGES).parquet(f"{self.files.root}/{folder}").count()
         return m.token + n, (*m.changes, folder)
 
@@ -217,9 +234,7 @@ class Collection:
         full = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_version", T.LongType()), *schema.fields])
         folder = f"d-{m.version + 1:012d}"
         if ids is None:
-            numbered = fresh.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-            rows = self.spark.createDataFrame(numbered, T.StructType([T.StructField("_id", T.LongType()), *fresh.schema.fields]))
-            rows = rows.withColumn("_id", F.col("_id") + m.next_id).withColumn("_version", F.lit(1).cast("bigint"))
+            rows = numbered(fresh, "_id", m.next_id, f"{self.files.root}/.t-{folder}").withColumn("_version", F.lit(1).cast("bigint"))
         else:
             rows = self._rows([{"_id": i, "_version": 1, **d} for i, d in zip(ids, docs, strict=True)], full)
         rows = self._as(rows, full)
@@ -231,6 +246,7 @@ class Collection:
         new = replace(m, schema=json.dumps(full.jsonValue()), folders=(folder,) if rewrite else (*m.folders, folder))
         added = self.spark.read.schema(full).parquet(f"{self.files.root}/{folder}").where(F.col("_id") >= m.next_id)
         n = added.count()
+        self.files.remove(f".t-{folder}")
         document = F.to_json(F.struct(*(F.col(f"`{f.name}`") for f in full)))
         token, changes = self._log(m, f"c-{m.version + 1:012d}", "insert", added.select("_id", document.alias("document")), tx_id)
         self._publish(m, replace(new, next_id=m.next_id + n, token=token, changes=changes))
@@ -261,6 +277,10 @@ class Collection:
             chosen = [r._id for r in ids.orderBy("_id").limit(limit).collect()]
             ids, when = ids.where(F.col("_id").isin(chosen)), F.col("_id").isin(chosen)
         marked = df.withColumn("_when", when)
+        if isinstance(update, dict):  # a field that gets a value of another kind becomes a variant
+            for path, operand in ((p, v) for op in ("$set", "$min", "$max") for p, v in dict(update.get(op) or {}).items()):
+                if path in df.columns and not values.same_kind(df.schema[path].dataType, operand):
+                    marked = marked.withColumn(path, convert(F.col(f"`{path}`"), df.schema[path].dataType, T.VariantType()))
         after = apply_update(marked, update, F.col("_when")) if isinstance(update, dict) else update(marked, F.col("_when"))
         after = after.withColumn("_version", F.when(F.col("_when"), F.col("_version") + 1).otherwise(F.col("_version"))).drop("_when")
         return self._rewrite(m, after, "update", ids, tx_id)

@@ -4,6 +4,7 @@ import zipfile
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from docquill.engine import Engine
 from docquill.errors import Aborted, DocquillError, InvalidQuery, TokenTooOld, TransactionConflict, UniqueViolation
@@ -194,3 +195,17 @@ def test_backup(db, spark, tmp_path):
     assert again.find("x") == db.find("x")
     with pytest.raises(DocquillError):
         db.backup(f"file://{tmp_path}/copy")
+
+
+def test_append_frame(db, spark):
+    db.insert("f", {"x": 1})
+    db.append_df("f", spark.range(0, 100, 1, 7).select((F.col("id") * 2).alias("x"), F.lit("y").alias("s")))
+    rows = db.find("f", sort={"_id": 1})
+    assert [r["_id"] for r in rows] == list(range(1, 102)) and sorted(r["x"] for r in rows[1:]) == list(range(0, 200, 2))
+    assert [r.token for r in db.changes("f").collect()] == list(range(1, 102))
+
+
+def test_update_to_another_kind(db):
+    db.insert_many("k", [{"v": 1}, {"v": 2}])
+    assert db.update("k", {"v": 2}, {"$set": {"v": "two"}}) == 1
+    assert [d["v"] for d in db.find("k", sort={"_id": 1})] == [1, "two"]
