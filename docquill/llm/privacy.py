@@ -27,7 +27,7 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 TERM, TERM_LETTERS = r"\p{L}", 4
-SUPPORT, REMOVE, GENERALISE, BROADCAST_BYTES = 3, 0.95, 0.8, 8 << 20
+SUPPORT, REMOVE, GENERALISE = 3, 0.95, 0.8
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "removed": "", "general": "<TERM>"}
 
 _SPAN = "array<struct<start: bigint, stop: bigint, value: string>>"
@@ -101,13 +101,13 @@ def terms_of(text: Column) -> Column:
 def disclosing_terms(rows: DataFrame, text: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, share) of the terms that reveal at least ``generalise`` of an entity.
 
-    rows: (id, entities) of the documents that hold any; text: (id, text) of all documents.
+    rows: (id, entities, text) of the documents that hold any; text: (id, text) of all documents.
     """
     n = text.count()
-    held = rows.select("id", F.explode(F.array_distinct("entities")).alias("entity"))
+    held = rows.select("id", F.explode(F.array_distinct("entities")).alias("entity")).distinct()
     entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("ne")).where(F.col("ne") >= support)
     held = held.join(entity, "entity")
-    near = text.join(held.select("id").distinct(), "id", "left_semi").select("id", F.explode(terms_of(F.col("text"))).alias("term"))
+    near = rows.join(held.select("id").distinct(), "id", "left_semi").select("id", F.explode(terms_of(F.col("text"))).alias("term")).distinct()
     both = held.join(near, "id").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("ne").alias("ne")).where(F.col("both") >= support)
     every = text.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
     info = F.log2(F.lit(float(n)) / F.col("ne"))
@@ -126,24 +126,25 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     work = shared_dir(spark)
     text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = saved(with_base_spans(text).drop("text"), f"{work}/base")
     kinds = list(PATTERNS)
     entities = F.concat(*map(_named, kinds))
-    holders = base.select("id", entities.alias("entities")).where((F.size("entities") > 0) & F.col("id").isNotNull())
+    # the few texts that hold anything are kept, so that later joins never move all texts
+    base = with_base_spans(text).withColumn("entities", entities)
+    base = saved(base.withColumn("text", F.when((F.size("entities") > 0) & F.col("id").isNotNull(), F.col("text"))), f"{work}/base")
+    holders = base.where("text is not null").select("id", "entities", "text")
     telling = saved(disclosing_terms(holders, text, support, generalise), f"{work}/telling")
     own = holders.select("id", F.explode(F.array_distinct("entities")).alias("entity")).join(telling, "entity")
     own = own.groupBy("id", "term").agg(F.max("share").alias("share")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
     own = saved(own, f"{work}/own")
-    size = own.agg(F.sum(F.size("shares"))).first()[0] or 0
-    with_terms = text.join(F.broadcast(own) if size * 40 <= BROADCAST_BYTES else own, "id")
+    with_terms = holders.join(own, "id")
     alternatives = F.array_join(F.array_sort(F.map_keys("shares"), lambda a, b: F.length(b) - F.length(a)), "|")
     pattern = F.concat(F.lit(rf"(?iu)(?<!{TERM})(?:"), alternatives, F.lit(rf")(?!{TERM})"))
     spans = F.filter(matches(F.col("text"), pattern), lambda x: F.try_element_at("shares", F.lower(x["value"])).isNotNull())
     kind = lambda x: F.when(F.element_at("shares", F.lower(x["value"])) >= remove_at, "removed").otherwise("general")
     term = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), kind(x).alias("value")))
-    term = with_terms.select("id", term.alias("term")).groupBy("id").agg(F.first("term").alias("term"))
+    term = with_terms.select("id", F.xxhash64("text").alias("h"), term.alias("term")).dropDuplicates(["id", "h"])
     taken = F.concat(*(F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))) for k in kinds))
-    out = base.join(term, "id", "left").withColumn("taken", taken)
+    out = base.withColumn("h", F.xxhash64("text")).join(term, ["id", "h"], "left").withColumn("taken", taken)
     free = F.filter(F.coalesce("term", F.array().cast(_SPAN)), lambda t: ~F.exists("taken", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
     out = saved(out.select(F.col("id").alias(id_col), *kinds, free.alias("term")), f"{work}/out")
     for name in ("base", "telling", "own"):
