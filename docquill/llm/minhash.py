@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from docquill.llm.common import ASCII_LOWER, ASCII_UPPER, checked_broadcast, connected_components, remove, saved, shared_dir
 
-WORDS, BINS_LOG2, ROWS, SMALL, PROBES, SALTS = 5, 7, 3, 24, 6, 8
+WORDS, BINS_LOG2, ROWS, SMALL, PROBES, SALTS, BROADCAST_PAIRS = 5, 7, 3, 24, 6, 8, 200_000
+SHARED, BROADCAST_TAGS, BROADCAST_IDS = 3, 100_000, 400_000
 BINS = 1 << BINS_LOG2
 BANDS = BINS // ROWS
 
@@ -76,12 +77,26 @@ def _bands(sets: DataFrame, num: int, den: int) -> DataFrame:
     return df.withColumn("keys", F.array_distinct(keys)).drop("first", "at", "sparse", "dense")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _likely(pairs: DataFrame, tags: DataFrame, few: bool) -> DataFrame:
+    """The pairs that share at least ``SHARED`` bands, by a byte of each; pairs with a small set all pass.
+
+    A byte can make bands look equal, never different. At a similarity of 0.7 fewer than three of 42 bands
+    are shared with a probability of 6e-6; texts that share a passage alone seldom reach three.
+    """
+    side = lambda c: F.broadcast(tags.select(F.col("id").alias(c), F.col("tags").alias(f"t{c}"))) if few else tags.select(F.col("id").alias(c), F.col("tags").alias(f"t{c}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    same = F.size(F.filter(F.zip_with("tu", "tv", lambda a, b: a == b), lambda x: x))
+    return both.where(F.col("tu").isNull() | F.col("tv").isNull() | (same >= SHARED)).select("u", "v").distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, work: str) -> DataFrame:
     """The pairs (u, v) with den * intersection >= num * union, on full sets."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    used = sets.join(ids, "id", "left_semi")
-    a = pairs.join(used.select(F.col("id").alias("u"), F.col("grams").alias("gu")), "u")
-    both = a.join(used.select(F.col("id").alias("v"), F.col("grams").alias("gv")), "v")
+    # sets are far larger than pairs: few pairs go to the sets, and only sets that a pair names are shuffled
+    if pairs.count() <= BROADCAST_PAIRS:
+        pairs = F.broadcast(pairs)
+    a = sets.select(F.col("id").alias("u"), F.col("grams").alias("gu")).join(pairs, "u")
+    named = checked_broadcast(saved(pairs.select(F.col("v").alias("id")).distinct(), work))
+    both = a.join(sets.join(named, "id", "left_semi").select(F.col("id").alias("v"), F.col("grams").alias("gv")), "v")
     both = both.select("u", "v", F.size("gu").alias("nu"), F.size("gv").alias("nv"), F.size(F.array_intersect("gu", "gv")).alias("i"))
     return both.where(F.col("i") * den >= (F.col("nu") + F.col("nv") - F.col("i")) * num).select("u", "v")
 
@@ -91,8 +106,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Links are pairs with ``den * |A & B| >= num * |A | B|``. component_id is the smallest id reachable
     over links, itself included; kept marks that smallest one. A null or blank text has no shingles
-    and links with nothing. Rows that repeat an id stand for one document with several texts. A row
-    without an id joins nothing: its component_id is null and it is kept. Other columns are ignored.
+    and links with nothing. Rows that repeat an id each go with their own text; different texts with
+    the same smallest id share a component. A row without an id joins nothing: its component_id is null and it is kept. Other columns are ignored.
     """
     spark = docs.sparkSession
     work = shared_dir(spark)
@@ -111,14 +126,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = bucket.groupBy("key").agg(F.min("id").alias("v"), F.min("n").alias("small"), F.max("n").alias("big"), F.count(F.lit(1)).alias("c"))
     shared = shared.where("c > 1").select("key", "v")
     bucket = saved(bucket.join(shared, "key"), f"{work}/buckets")
-    members = checked_broadcast(saved(bucket.select("id").distinct(), f"{work}/members"))
+    members = saved(bucket.select("id").distinct(), f"{work}/members")
+    many = members.count()
+    members = F.broadcast(members) if many <= BROADCAST_IDS else members
+    tag = F.when(F.col("n") > SMALL, F.transform(F.slice("keys", 1, BANDS), lambda k: k.bitwiseAND(127).cast("tinyint")))
+    tags = saved(reps.select(F.col("rep").alias("id"), tag.alias("tags")).join(members, "id", "left_semi"), f"{work}/tags")
     rep_sets = saved(shingle_sets(base.join(members, "id", "left_semi"), "id", "text"), f"{work}/sets", "uncompressed")
 
     centre = bucket.where("id = v").select("key", F.col("n").alias("nv"))
     fits = F.least("n", "nv") * den >= F.greatest("n", "nv") * num
     pairs = bucket.where("id <> v").join(centre, "key").where(fits).select(F.col("id").alias("u"), "v").distinct()
-    pairs = saved(pairs, f"{work}/pairs-0")
-    links = saved(_confirmed(pairs, rep_sets, num, den), f"{work}/links-0")
+    pairs = saved(_likely(pairs, tags, many <= BROADCAST_TAGS), f"{work}/pairs-0")
+    links = saved(_confirmed(pairs, rep_sets, num, den, f"{work}/named-0"), f"{work}/links-0")
     tested, step, done = pairs, 0, 1
     parts = saved(connected_components(links, f"{work}/parts-0"), f"{work}/parts-0/out")
     while True:
@@ -135,12 +154,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hub = ranked.where((F.col("rank") > done) & (F.col("rank") <= top)).select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("rank").alias("rv"), F.col("main").alias("mv"))
         met = ranked.where("not main").join(hub, "key").unionByName(ranked.where("main").join(hub.where("not mv"), "key"))
         more = met.where((F.col("rank") > F.col("rv")) & (F.col("component") != F.col("cv")) & fits)
-        more = more.select(F.col("id").alias("u"), "v").distinct().join(tested, ["u", "v"], "left_anti")
+        more = _likely(more.select(F.col("id").alias("u"), "v").distinct(), tags, many <= BROADCAST_TAGS).join(tested, ["u", "v"], "left_anti")
         more = saved(more, f"{work}/pairs-{step}")
         left = ranked.agg(F.max("rank")).first()[0] or 0
         fresh = not more.isEmpty()
         if fresh:
-            found = saved(_confirmed(more, rep_sets, num, den), f"{work}/links-{step}")
+            found = saved(_confirmed(more, rep_sets, num, den, f"{work}/named-{step}"), f"{work}/links-{step}")
             tested = tested.union(more)
         if fresh and not found.isEmpty():
             links = links.union(found)
@@ -161,6 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), part).alias("component_id")
     )
     out = saved(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), f"{work}/out")
-    for name in ("facts", "reps", "buckets", "members", "sets", *(f"{x}-{k}" for k in range(step + 1) for x in ("pairs", "links", "parts", "ranked", "split"))):
+    rounds = (f"{x}-{k}" for k in range(step + 1) for x in ("pairs", "links", "named", "parts", "ranked", "split"))
+    for name in ("facts", "reps", "buckets", "members", "tags", "sets", *rounds):
         remove(spark, f"{work}/{name}")
     return out
