@@ -287,5 +287,24 @@ def test_mixing(spark):
     assert len(odd) == len(ODD) and any(r.source == "(none)" for r in odd) and mixing.mix(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("driver_cells", [mixing.DRIVER_CELLS, 0])
+def test_mixing_meets_targets_in_the_sample(spark, driver_cells):
+    """Production parameters, a source with a third of all tokens: expected shares of the sample equal the tempered targets."""
+    rng = random.Random(12)
+    tail = {"general": "", "tabular": " | a | b | c", "legal": " under the licence", "contact": " to a@b.org"}
+    topics = rng.choices(list(tail), [90, 5, 4, 1], k=4000)
+    rows = [(k, "tok " * rng.randrange(5, 60) + tail[t], rng.choices(["en", "de", "es"], [7, 2, 1])[0], "hot" if k % 3 == 0 else f"s{k % 11}", 0) for k, t in enumerate(topics)]
+    out = mixing.mix(frame(spark, rows), driver_cells=driver_cells).toPandas()
+    assert out["prob"].max() <= 1 and (out["prob"] == 1).any()
+    sample, every = out["prob"] * out["tokens"], out["tokens"].sum()
+    for d in mixing.DIMENSIONS:
+        goal = mixing.targets_of(out.groupby(d)["tokens"].sum().to_dict(), None, mixing.TEMPER[d])
+        assert (sample.groupby(out[d]).sum() / sample.sum()).to_dict() == pytest.approx(goal, abs=1e-4)
+        assert (out["weight"] * out["tokens"]).groupby(out[d]).sum().to_dict() == pytest.approx(goal, abs=1e-4)
+    limits = [out.loc[out[d] == v, "tokens"].sum() / every / s for d in mixing.DIMENSIONS for v, s in mixing.targets_of(out.groupby(d)["tokens"].sum().to_dict(), None, mixing.TEMPER[d]).items()]
+    assert sample.sum() / every == pytest.approx(min(limits), rel=1e-3) and min(limits) < mixing.KEEP
+    assert mixing.mix(frame(spark, [(1, "", "en", "a", 0), (2, None, "fr", "b", 0)]), driver_cells=driver_cells).where("prob <> 0").count() == 0
+
+
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
