@@ -8,6 +8,10 @@ log P(language | row) = text + declared + suffix + prior, up to a constant:
 * declared: P(declared | language), a confusion table counted over all rows against the text's verdict.
 * suffix: P(address suffix | language), counted over all rows in the same way.
 * prior: of the host, smoothed towards its site, that towards all rows (grouped counts, Dirichlet weights).
+
+This only compares the declared languages. Whether a text is in any of them is judged by absolute fit, whatever its
+length: under its best language its mean log likelihood must reach that under a model of unknown text, which gives
+a trigram the product of its bytes' frequencies in the same sample, or one of BUCKETS equal shares if that is more.
 """
 
 from __future__ import annotations
@@ -29,13 +33,17 @@ BROADCAST_BYTES = 8 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def _bucket(code: np.ndarray) -> np.ndarray:
+    return (code * np.uint32(2654435761)) >> np.uint32(16)
+
+
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of every trigram with a letter in its middle, number of them in each text)."""
     joined = np.frombuffer(b" " + b"  ".join(t.translate(_FOLD) for t in texts) + b" ", np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     code = joined[:-2].astype(np.uint32) << 16 | joined[1:-1].astype(np.uint32) << 8 | joined[2:]
     middle = joined[1:-1] != 32
-    bucket = (code[middle] * np.uint32(2654435761)) >> np.uint32(16)
+    bucket = _bucket(code[middle])
     before = np.concatenate([[0], np.cumsum(middle)])
     starts = np.cumsum(sizes + 2) - sizes - 2
     return bucket, before[starts + sizes] - before[starts]
@@ -57,17 +65,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            own += np.bincount(trigrams([text or b""])[0], minlength=BUCKETS)
+            own = counts.setdefault(lang, np.zeros(BUCKETS + 256, np.int64))  # trigrams, then single bytes
+            own[:BUCKETS] += np.bincount(trigrams([text or b""])[0], minlength=BUCKETS)
+            own[BUCKETS:] += np.bincount(np.frombuffer((text or b"").translate(_FOLD), np.uint8), minlength=256)
     for lang, own in counts.items():
         seen = np.flatnonzero(own)
         yield pa.record_batch([pa.array([lang] * len(seen)), pa.array(seen.astype(np.int32)), pa.array(own[seen])], names=["lang", "bucket", "n"])
 
 
-def _scorer(tables: np.ndarray):
+def unknown_table(counts: np.ndarray) -> np.ndarray:
+    """Log likelihoods of all buckets for text in no known language, from the counts of single bytes."""
+    used = np.array(sorted(set(_FOLD)), np.uint32)
+    share = (counts[used] + 0.5) / (counts[used] + 0.5).sum()
+    middle = used != 32
+    code = used[:, None, None] << np.uint32(16) | used[middle][None, :, None] << np.uint32(8) | used[None, None, :]
+    chance = share[:, None, None] * share[middle][None, :, None] * share[None, None, :]
+    table = np.bincount(_bucket(code.ravel()), chance.ravel(), BUCKETS)
+    return np.log(np.maximum(table / table.sum(), 1 / BUCKETS))
+
+
+def _scorer(tables: np.ndarray, unknown: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            means, sizes = [], []
+            means, sizes, fits = [], [], []
             for texts in _texts(batch.column(batch.num_columns - 1)):
                 bucket, n = trigrams(texts)
                 ends = np.cumsum(n)
@@ -76,10 +96,13 @@ def _scorer(tables: np.ndarray):
                     total = np.concatenate([[0.0], np.cumsum(table[bucket])])
                     out[:, k] = (total[ends] - total[ends - n]) / np.maximum(n, 1)
                 means += list(out)
+                total = np.concatenate([[0.0], np.cumsum(unknown[bucket])])
+                fits.append(out.max(1) - (total[ends] - total[ends - n]) / np.maximum(n, 1))
                 sizes.append(n)
             n = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
+            fit = np.concatenate(fits) if fits else np.empty(0)
             yield pa.record_batch(
-                [*batch.columns[:-1], pa.array(n), pa.array(means, pa.list_(pa.float64()))], names=["id", "declared", "suffix", "host", "site", "n", "means"]
+                [*batch.columns[:-1], pa.array(n), pa.array(fit), pa.array(means, pa.list_(pa.float64()))], names=["id", "declared", "suffix", "host", "site", "n", "fit", "means"]
             )
 
     return run
@@ -105,8 +128,8 @@ def identify(
     text, declared and host default to the columns text, lang and source. Languages are those declared by
     at least ``MIN_ROWS`` rows; the trigram tables look at about per_language rows of each. A row is
     accepted when its text has a letter, its best language is in ``accept`` (default: all) and reaches
-    min_score. Null or letterless texts are rejected with lang null and score 0, as is everything where
-    no language is declared often enough. Null hosts and declarations give no evidence. Repeated rows
+    min_score. Null or letterless texts and those that fit no language better than the model of unknown text
+    are rejected with lang null and score 0, as is everything where no language is declared often enough. Null hosts and declarations give no evidence. Repeated rows
     each count; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -128,7 +151,10 @@ def identify(
     for lang, n in often.items():
         quota = F.when(F.col("declared") == lang, math.ceil(1_000_000 * min(1.0, per_language / n))).otherwise(quota)
     sample = rows.where(u < quota).select("declared", "text").mapInArrow(_count, "lang string, bucket int, n bigint")
-    table = sample.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most languages x BUCKETS rows
+    table = sample.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most languages x (BUCKETS + 256) rows
+    single = table["bucket"] >= BUCKETS
+    counts = np.bincount(table["bucket"][single] - BUCKETS, table["n"][single], 256)
+    table = table[~single]
     tables = np.full((len(langs), BUCKETS), 0.5)
     number = {x: k for k, x in enumerate(langs)}
     tables[table["lang"].map(number).to_numpy(np.int64), table["bucket"].to_numpy(np.int64)] += table["n"].to_numpy()
@@ -136,10 +162,11 @@ def identify(
 
     # one pass over whole texts; all that follows works on a few bytes a row
     scored = rows.select("id", "declared", "suffix", "host", "site", "text").mapInArrow(
-        _scorer(tables), "id bigint, declared string, suffix string, host string, site string, n bigint, means array<double>"
+        _scorer(tables, unknown_table(counts)), "id bigint, declared string, suffix string, host string, site string, n bigint, fit double, means array<double>"
     )
+    known_text = (F.col("n") > 0) & (F.col("fit") >= 0)
     best = F.array_position("means", F.array_max("means")).cast("int") - 1
-    scored = saved(scored.withColumn("guess", F.when(F.col("n") > 0, best)), f"{work}/scored")
+    scored = saved(scored.withColumn("guess", F.when(known_text, best)), f"{work}/scored")
     certain = scored.where("guess is not null")
 
     total = np.zeros(len(langs))
@@ -184,8 +211,8 @@ def identify(
     logs = F.array(*(weight * F.get("means", k) + F.get("claim", k) + F.get("suffix_like", k) + F.log(F.get("prior", k)) for k in range(len(langs))))
     df = df.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     score = 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
-    lang = F.when(F.col("n") > 0, F.get(F.array(*map(F.lit, langs)), F.array_position("logs", F.col("top")).cast("int") - 1))
-    out = df.select(F.col("id").alias(id_col), "declared", lang.alias("lang"), F.when(F.col("n") > 0, score).otherwise(0.0).alias("score"))
+    lang = F.when(known_text, F.get(F.array(*map(F.lit, langs)), F.array_position("logs", F.col("top")).cast("int") - 1))
+    out = df.select(F.col("id").alias(id_col), "declared", lang.alias("lang"), F.when(known_text, score).otherwise(0.0).alias("score"))
     good = F.col("lang").isNotNull() & (F.col("score") >= min_score)
     out = out.withColumn("accepted", good & F.col("lang").isin(*accept) if accept is not None else good)
     out = saved(out.withColumn("accepted", F.coalesce("accepted", F.lit(False))), f"{work}/out")

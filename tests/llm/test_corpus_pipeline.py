@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from docquill.llm.common import saved, shared_dir
+from test_text_operators import FOREIGN
 from tests_llm_rules import plain_hits, shingle_parts
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +47,14 @@ def test_stages(spark):
     assert set(got) == set(texts)
 
 
+def test_language_stage_drops_foreign_and_junk_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    planted = [(10_000 + k, t, "en", "src1", len(t)) for k, t in enumerate(FOREIGN)]
+    left = corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(planted, "doc_id bigint, text string, lang string, source string, n_chars bigint").select(docs.columns)), SF)
+    left = {r.doc_id for r in left.select("doc_id").collect()}
+    assert left == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text)}
+
+
 def test_stages_stand_odd_rows(spark):
     rows = [(1, None, None, None, None), (None, "some text here", "en", "a", 3), (2, "", "en", "a", 0), (3, "same words here", "en", "a", 5), (3, "same words here", "en", "a", 5)]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"

@@ -243,6 +243,25 @@ def test_languages(spark):
     assert html.select(langid.primary(langid.markup_language(F.col("h"))).alias("x")).first().x == "fr"
 
 
+FOREIGN = (
+    "Это обычный русский текст о погоде и людях, которые живут в большом городе", "これは普通の日本語の文章で、天気について書いてあります", "Жук",
+    "To jest zwykły polski tekst o pogodzie i ludziach, którzy mieszkają w dużym mieście i często jeżdżą pociągiem",
+    "c2Vjb25kIHF1aXogd3h6IEtKSEdGRFNBIHBvaXV5dHJld3EgbW5idmN4eiBaWFFXIHF3ZXJ0eXVpb3AgMTIzNDU2Nzg5MCBLTE1OT1BRUlNUVVZXWFla", "bxzq wrtk pfgh vjkl zzxc qwrt mnbv xkcd",
+)
+
+
+def test_languages_reject_unknown_text(spark):
+    """Foreign and junk texts, short and long, are rejected whatever they declare; all others stay."""
+    words = {"en": "the and of that with this from have", "de": "der die und das nicht mit auf eine", "es": "los las una con para que por está"}
+    rng = random.Random(16)
+    rows = [(k * 10 + j, " ".join(rng.choice(words[lang].split()) for _ in range(rng.choice((3, 40)))), lang, f"h{j}.example.{lang}", 0) for j, lang in enumerate(words) for k in range(60)]
+    planted = [(9000 + 2 * k + far, t * (200 if far else 1), "es", "h2.example.es", 0) for k, t in enumerate(FOREIGN) for far in (0, 1)]
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in langid.identify(docs.unionByName(frame(spark, [(i, t, None, h, n) for i, t, _, h, n in planted]))).collect()}
+    assert all(got[r[0]].lang == r[2] and got[r[0]].accepted for r in rows)
+    assert all((got[r[0]].accepted, got[r[0]].lang, got[r[0]].score) == (False, None, 0) for r in planted)
+
+
 def test_quality(spark):
     rng = random.Random(9)
     def prose(n):
