@@ -78,7 +78,14 @@ SELECT page_id, host, len(ls)::BIGINT AS n_lines, (len(ls) - len(kept))::BIGINT
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(_read(spark, sf_dir, "documents"))
+    """All rows of documents (page_id null) and of pages (doc_id null); declared markup language and address suffix occur in pages."""
+    docs = langid.identify(_read(spark, sf_dir, "documents"))
+    html = F.col("html")
+    pages = langid.identify(
+        _read(spark, sf_dir, "pages"), "page_id", F.array_join(lines.html_lines(html), "\n"), langid.markup_language(html), lines.host_of(F.col("url"))
+    )
+    both = docs.withColumn("page_id", F.lit(None).cast("bigint")).unionByName(pages.withColumn("doc_id", F.lit(None).cast("bigint")))
+    return both.select("doc_id", "page_id", "declared", "lang", "score", "accepted")
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

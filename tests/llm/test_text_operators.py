@@ -1,6 +1,7 @@
 """Operators on documents against brute force, and the rows that every operator must stand."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docquill.llm import decontam, huffman, langid, lines, minhash, mixing, privacy, quality, token_files
+from docquill.llm import decontam, huffman, langid, lines, minhash, mixing, privacy, quality, queries, token_files
 from docquill.llm.common import connected_components, shared_dir
 from tests_llm_rules import plain_hits, shingle_parts, shingles
 
@@ -262,6 +263,20 @@ def test_languages_reject_unknown_text(spark):
     assert all((got[r[0]].accepted, got[r[0]].lang, got[r[0]].score) == (False, None, 0) for r in planted)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the tables aren't here")
+def test_language_query_scores_pages(spark):
+    """Each page gets a language from its own markup, host and text; documents keep the rows they have alone."""
+    sf = "/root/testdata/sf0.001"
+    got = queries.op5_language_id(spark, sf).collect()
+    alone = langid.identify(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert {(r.doc_id, r.lang, round(r.score, 9), r.accepted) for r in got if r.page_id is None} == {(r.doc_id, r.lang, round(r.score, 9), r.accepted) for r in alone}
+    pages = {r.page_id: re.search(r'<html[^>]* lang="?([a-z]+)', r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    own = {r.page_id: r for r in got if r.page_id is not None}
+    assert set(own) == set(pages) and all(own[i].doc_id is None and own[i].declared == (m and m[1]) for i, m in pages.items())
+    said = [i for i, m in pages.items() if m]
+    assert sum(own[i].lang == pages[i][1] for i in said) > 0.7 * len(said) > 0
+
+
 def test_quality(spark):
     rng = random.Random(9)
     def prose(n):
