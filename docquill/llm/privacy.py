@@ -5,9 +5,10 @@ forms (look-behind, possessive repeats) that match exactly as the plain ones do.
 
 The values found are the protected entities. Over the whole corpus the number of documents with a term,
 with an entity and with both give the pointwise mutual information of term and entity. Divided by the
-entity's own information, log2(N / n(e)), it says which share of the entity a term reveals. With enough
-documents of both, a term at or over ``REMOVE`` is removed from documents that hold the entity, one at
-or over ``GENERALISE`` is generalised. Everything runs on DataFrame functions.
+entity's own information, log2(N / n(e)), it says which share of the entity a term reveals. P(entity | term) is
+smoothed by ``SMOOTH`` documents in which the entity is as frequent as everywhere, so one or two documents
+count as evidence, but as less than many. A term at or over ``REMOVE`` is removed from documents that hold
+the entity, one at or over ``GENERALISE`` is generalised. Everything runs on DataFrame functions.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ PATTERNS = {
 }
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-TERM, TERM_LETTERS = r"\p{L}", 4
-SUPPORT, REMOVE, GENERALISE = 3, 0.95, 0.8
+TERM = r"\p{L}"
+SMOOTH, REMOVE, GENERALISE = 1.0, 0.95, 0.8
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "removed": "", "general": "<TERM>"}
 
 _SPAN = "array<struct<start: bigint, stop: bigint, value: string>>"
@@ -92,34 +93,35 @@ def with_base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def terms_of(text: Column) -> Column:
-    """Distinct lower-case terms, runs of letters of some length, outside e-mail addresses."""
+    """Distinct lower-case terms, runs of letters, outside e-mail addresses."""
     plain = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
     words = F.split(F.lower(plain), rf"[^{TERM}]+")
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= TERM_LETTERS))
+    return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 
-def disclosing_terms(rows: DataFrame, text: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def disclosing_terms(rows: DataFrame, text: DataFrame, smooth: float = SMOOTH, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, share) of the terms that reveal at least ``generalise`` of an entity.
 
     rows: (id, entities, text) of the documents that hold any; text: (id, text) of all documents.
     """
     n = text.count()
     held = rows.select("id", F.explode(F.array_distinct("entities")).alias("entity")).distinct()
-    entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("ne")).where(F.col("ne") >= support)
+    entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("ne"))
     held = held.join(entity, "entity")
     near = rows.join(held.select("id").distinct(), "id", "left_semi").select("id", F.explode(terms_of(F.col("text"))).alias("term")).distinct()
-    both = held.join(near, "id").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("ne").alias("ne")).where(F.col("both") >= support)
+    both = held.join(near, "id").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("ne").alias("ne"))
     every = text.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
     info = F.log2(F.lit(float(n)) / F.col("ne"))
-    share = F.when(info > 0, F.log2(F.lit(float(n)) * F.col("both") / (F.col("ne") * F.col("nt"))) / info)
+    likely = (F.col("both") + smooth * F.col("ne") / F.lit(float(n))) / (F.col("nt") + smooth)  # P(entity | term)
+    share = F.when(info > 0, F.log2(likely * F.lit(float(n)) / F.col("ne")) / info)
     return both.join(every, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, remove_at: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smooth: float = SMOOTH, remove_at: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """One row per row of docs: id, email, ip, card, phone, term: arrays of (start, stop, value).
 
-    Positions are code points, stop exclusive; a term's value says ``removed`` or ``general``. Terms need
-    ``support`` documents with the entity and the term. A null text is empty. Rows that repeat an id each
+    Positions are code points, stop exclusive; a term's value says ``removed`` or ``general``. Every
+    entity counts, however few documents hold it. A null text is empty. Rows that repeat an id each
     get their own base spans and the terms of all of them; a row without an id gets base spans only.
     Term spans never overlap base spans. Other columns are ignored; an empty table gives no rows.
     """
@@ -132,7 +134,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = with_base_spans(text).withColumn("entities", entities)
     base = saved(base.withColumn("text", F.when((F.size("entities") > 0) & F.col("id").isNotNull(), F.col("text"))), f"{work}/base")
     holders = base.where("text is not null").select("id", "entities", "text")
-    telling = saved(disclosing_terms(holders, text, support, generalise), f"{work}/telling")
+    telling = saved(disclosing_terms(holders, text, smooth, generalise), f"{work}/telling")
     own = holders.select("id", F.explode(F.array_distinct("entities")).alias("entity")).join(telling, "entity")
     own = own.groupBy("id", "term").agg(F.max("share").alias("share")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
     own = saved(own, f"{work}/own")

@@ -218,6 +218,17 @@ def test_disclosing_terms(spark):
     assert "m@x.org" not in clean and "<EMAIL>" in clean and "allory" not in clean.lower() and "usual thing" in clean
 
 
+def test_entities_of_few_documents_disclose(spark):
+    """Values in one or two documents have terms too, short names as well; what is common elsewhere stays."""
+    rows = [(0, "ask Bo Quist at b@x.org about the usual thing", "en", "s", 0)]
+    rows += [(k, "call Al Zorn on +1 555 123 4567 about the usual thing", "en", "s", 0) for k in (1, 2)]
+    rows += [(10 + k, "the usual thing about other people, ask or call at noon on friday", "en", "s", 0) for k in range(400)]
+    got = {r.doc_id: {rows[r.doc_id][1][s.start : s.stop].lower(): s.value for s in r.term} for r in privacy.find_personal(frame(spark, rows)).collect() if r.doc_id < 10}
+    share = lambda both, nt, ne, n=403: np.log2((both + ne / n) / (nt + 1) * n / ne) / np.log2(n / ne)
+    assert privacy.GENERALISE <= share(1, 1, 1) < privacy.REMOVE and privacy.GENERALISE <= share(2, 2, 2) < privacy.REMOVE
+    assert got == {0: {"bo": "general", "quist": "general"}, 1: {"al": "general", "zorn": "general"}, 2: {"al": "general", "zorn": "general"}}
+
+
 def test_line_dedup(spark):
     page = lambda k: f"<html><head><title>t</title><style>x</style></head><body><nav>Home</nav><!-- no --><p>Page {k} &amp; more</p><script>y</script><footer>Foot</footer></body></html>"
     rows = [(k, f"http://A.example.org:80/{k}", page(k)) for k in range(10)] + [(20, "https://u@b.example.org", page(1)), (21, None, page(2)), (22, "nonsense", None), (20, "https://b.example.org/x", "")]
