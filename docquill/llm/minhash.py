@@ -78,15 +78,15 @@ def _bands(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, tags: DataFrame, few: bool) -> DataFrame:
-    """The pairs that share at least ``SHARED`` bands, by a byte of each; pairs with a small set all pass.
+    """The pairs that share at least ``SHARED`` bands, by a byte of each; pairs of a prefix key or with a small set all pass.
 
     A byte can make bands look equal, never different. At a similarity of 0.7 fewer than three of 42 bands
-    are shared with a probability of 6e-6; texts that share a passage alone seldom reach three.
+    are shared with a probability of 6e-6 if bands were independent, more in small sets; texts that share a passage alone seldom reach three.
     """
     side = lambda c: F.broadcast(tags.select(F.col("id").alias(c), F.col("tags").alias(f"t{c}"))) if few else tags.select(F.col("id").alias(c), F.col("tags").alias(f"t{c}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     same = F.size(F.filter(F.zip_with("tu", "tv", lambda a, b: a == b), lambda x: x))
-    return both.where(F.col("tu").isNull() | F.col("tv").isNull() | (same >= SHARED)).select("u", "v").distinct()
+    return both.where(F.col("exact") | F.col("tu").isNull() | F.col("tv").isNull() | (same >= SHARED)).select("u", "v").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, work: str) -> DataFrame:
@@ -122,7 +122,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = facts.where(F.col("id").isNotNull() & (F.col("n") > 0))
     groups = usable.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     reps = saved(groups, f"{work}/reps")
-    bucket = reps.select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n")
+    bucket = reps.select(F.posexplode("keys").alias("pos", "key"), F.col("rep").alias("id"), "n")
+    bucket = bucket.select("key", "id", "n", ((F.col("n") <= SMALL) | (F.col("pos") >= BANDS)).alias("exact"))  # prefix keys follow the bands
     shared = bucket.groupBy("key").agg(F.min("id").alias("v"), F.min("n").alias("small"), F.max("n").alias("big"), F.count(F.lit(1)).alias("c"))
     shared = shared.where("c > 1").select("key", "v")
     bucket = saved(bucket.join(shared, "key"), f"{work}/buckets")
@@ -135,13 +136,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     centre = bucket.where("id = v").select("key", F.col("n").alias("nv"))
     fits = F.least("n", "nv") * den >= F.greatest("n", "nv") * num
-    pairs = bucket.where("id <> v").join(centre, "key").where(fits).select(F.col("id").alias("u"), "v").distinct()
+    pairs = bucket.where("id <> v").join(centre, "key").where(fits).select(F.col("id").alias("u"), "v", "exact").distinct()
     pairs = saved(_likely(pairs, tags, many <= BROADCAST_TAGS), f"{work}/pairs-0")
     links = saved(_confirmed(pairs, rep_sets, num, den, f"{work}/named-0"), f"{work}/links-0")
     tested, step, done = pairs, 0, 1
     parts = saved(connected_components(links, f"{work}/parts-0"), f"{work}/parts-0/out")
     while True:
-        named = bucket.select("key", "id", "n").join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
+        named = bucket.select("key", "id", "n", "exact").join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
         named = named.withColumn("component", F.coalesce("component", "id"))
         split = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
         ranked = named.join(split, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")))
@@ -154,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hub = ranked.where((F.col("rank") > done) & (F.col("rank") <= top)).select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("rank").alias("rv"), F.col("main").alias("mv"))
         met = ranked.where("not main").join(hub, "key").unionByName(ranked.where("main").join(hub.where("not mv"), "key"))
         more = met.where((F.col("rank") > F.col("rv")) & (F.col("component") != F.col("cv")) & fits)
-        more = _likely(more.select(F.col("id").alias("u"), "v").distinct(), tags, many <= BROADCAST_TAGS).join(tested, ["u", "v"], "left_anti")
+        more = _likely(more.select(F.col("id").alias("u"), "v", "exact").distinct(), tags, many <= BROADCAST_TAGS).join(tested, ["u", "v"], "left_anti")
         more = saved(more, f"{work}/pairs-{step}")
         left = ranked.agg(F.max("rank")).first()[0] or 0
         fresh = not more.isEmpty()
@@ -167,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         done = top
         if left <= done:
             break
-        bucket = ranked.select("key", "id", "n")
+        bucket = ranked.select("key", "id", "n", "exact")
 
     rep_part = reps.select("h1", "h2", "rep").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     # a group of copies may hold a third of all rows: its rows spread over SALTS keys

@@ -71,6 +71,15 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_prefix_pairs_need_no_shared_bands(spark, monkeypatch):
+    """Sets of 25 to 34 shingles that a prefix key proposes are confirmed, however few bands they share."""
+    monkeypatch.setattr(minhash, "SHARED", minhash.BANDS + 1)
+    w = [f"a{k}" for k in range(36)]
+    rows = [(1, " ".join(w[:34]), "en", "s", 0), (2, " ".join(w[2:]), "en", "s", 0)]
+    assert all(len(shingles(r[1])) == 30 for r in rows)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()} == {1: 1, 2: 1}
+
+
 def test_signature_is_consistent(spark):
     """Equal sets give equal keys, dense and sparse ones alike; each band is there."""
     rows = [(k, " ".join(f"a{j}" for j in range(n)), "en", "s", 0) for k, n in enumerate((30, 30, 90, 2000))]
