@@ -41,6 +41,7 @@ def parse_ms(text: str) -> int | None:
 
 def ms_of(text: Column) -> Column:
     """Milliseconds of a date-like string column, NULL for all other strings."""
+    text = F.when(F.substring(text, 5, 1) == "-", text)  # spares most strings the patterns
     whole = F.when(text.rlike(_ZONED), F.upper(text)).when(text.rlike(_PLAIN), F.concat(text, F.lit("Z"))).when(text.rlike(_DATE), F.concat(text, F.lit("T00:00:00Z")))
     return F.unix_millis(whole.try_cast("timestamp"))
 
@@ -219,8 +220,7 @@ def number(column: Column, kind: T.DataType) -> Column:
     if is_number(kind):
         return column.cast("double")
     if isinstance(kind, T.VariantType):
-        key = variant_key(column)
-        return F.when(key["rank"] == NUMBER, key["num"])
+        return F.when(F.schema_of_variant(column).rlike(_NUMBERS), F.try_variant_get(column, "$", "double"))
     return F.lit(None).cast("double")
 
 
@@ -244,6 +244,27 @@ def order_key(column: Column, kind: T.DataType) -> Column:
     return F.struct(key["rank"], key["num"], F.coalesce(key["whole"], key["num"].try_cast("bigint")).alias("whole"), key["s"])
 
 
+def _larger_first(text: Column) -> Column:
+    """A string that sorts the other way round: its bytes' complements, then an end that no byte's digit reaches."""
+    return F.concat(F.translate(F.hex(text), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
+def reversed_key(column: Column, kind: T.DataType) -> Column:
+    """A struct that sorts opposite to order_key: larger values first, missing ones last."""
+    key = order_key(column, kind)
+    if isinstance(kind, T.VariantType):
+        parts = [F.bitwise_not(key["rank"]), -key["num"], F.bitwise_not(key["whole"]), _larger_first(key["s"])]
+    elif isinstance(kind, T.StringType):
+        parts = [F.bitwise_not(key["rank"]), F.bitwise_not(key["num"]), _larger_first(key["s"])]
+    elif isinstance(kind, T.BooleanType):
+        parts = [F.bitwise_not(key.cast("int"))]
+    elif is_number(kind):
+        parts = [F.bitwise_not(key.cast("bigint"))] if isinstance(kind, T.IntegralType) else [-key]
+    else:
+        parts = [_larger_first(key.cast("string"))]
+    return F.struct(*(c.alias(f"p{n}{m}") for n, part in enumerate(parts) for m, c in (("a", part.isNull()), ("b", part))))
+
+
 def literal(value: Any) -> Column:
     """A column of a JSON value."""
     if isinstance(value, list):

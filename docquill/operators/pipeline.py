@@ -2,7 +2,8 @@
 
 Three rewrites happen here, before Catalyst sees a plan: ``$lookup`` followed by ``$unwind`` of its result
 is a plain join; ``$first``, ``$last`` and ``$push`` take their order from the last ``$sort`` (else the
-key) as an argument of the aggregate, so no sort of the whole input is needed; missing keys form a group.
+key) as an argument of the aggregate, so a ``$sort`` right before a ``$group`` sorts nothing; missing keys
+form a group.
 """
 
 from __future__ import annotations
@@ -44,20 +45,10 @@ def _position(state: State) -> tuple[Column, bool]:
     parts += [(k, 1) for k in state.key if k in state.df.columns and k not in {p for p, _ in parts}]
     if not parts:
         return F.struct(F.monotonically_increasing_id()), False
-    kinds = [values.field(state.df, p)[1] for p, _ in parts]
-    # a field can run against the struct's direction only if its sign can be turned
-    fixed = {d for (_, d), k in zip(parts, kinds, strict=True) if not values.is_number(k)}
-    if len(fixed) > 1:
-        raise InvalidQuery("$first, $last and $push can't follow a sort of text in both directions")
-    direction = fixed.pop() if fixed else 1
-    fields = []
-    for path, d in parts:
-        column, kind = values.field(state.df, path)
-        if d == direction:
-            fields.append(values.sort_key(column, kind))
-        else:  # missing values change ends too
-            fields += [column.isNull(), -column]
-    return F.struct(*(f.alias(f"o{k}") for k, f in enumerate(fields))), direction == -1
+    directions = {d for _, d in parts}
+    turned = (lambda d: d == -1) if len(directions) > 1 else (lambda d: False)
+    fields = [(values.reversed_key if turned(d) else values.order_key)(*values.field(state.df, p)) for p, d in parts]
+    return F.struct(*(f.alias(f"o{k}") for k, f in enumerate(fields))), directions == {-1}
 
 
 def _accumulator(state: State, spec: Any) -> Column:
@@ -85,9 +76,12 @@ def _accumulator(state: State, spec: Any) -> Column:
         return (F.min if least else F.max)(column)
     order, backwards = _position(state)
     if op == "$push":
-        rows = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.struct(column.alias("v")).alias("w"))), asc=not backwards) if not isinstance(kind, T.VariantType) else None
-        if rows is None:
-            raise InvalidQuery("$push of mixed values isn't supported; name a typed field")
+        rows = F.collect_list(F.struct(order.alias("o"), F.struct(column.alias("v")).alias("w")))
+        if _has_variant(kind):  # variants have no order, so only the positions are compared
+            way = -1 if backwards else 1
+            rows = F.array_sort(rows, lambda a, b: F.when(a["o"] < b["o"], -way).when(a["o"] > b["o"], way).otherwise(0))
+        else:
+            rows = F.sort_array(rows, asc=not backwards)
         return F.transform(rows, lambda x: x["w"]["v"])
     first = (op == "$first") != backwards
     return (F.min_by if first else F.max_by)(F.struct(column.alias("v")), order)["v"]
@@ -212,10 +206,12 @@ def _sides(state: State, spec: Any) -> tuple[DataFrame, Column, Column, str]:
         raise InvalidQuery("this pipeline has no other collections to look up")
     right = state.tables(table)
     a, b = values.field(state.df, local), values.field(right, foreign)
-    if a is None or b is None:
-        raise InvalidQuery("$lookup names a field that no row has")
-    rows = right.select(b[0].alias("_foreign"), F.struct(*(F.col(f"`{c}`") for c in right.columns)).alias(name))
-    return rows, a[0], b[0], name
+    # a field that no row has is missing in all, and a missing value matches nothing
+    here, there = a[0] if a else F.lit(None).cast(b[1] if b else "string"), b[0] if b else F.lit(None).cast(a[1] if a else "string")
+    if any(x and isinstance(x[1], T.VariantType) for x in (a, b)):  # mixed values match as they compare
+        here, there = (F.to_json(values.order_key(c, x[1] if x else T.StringType())) for c, x in ((here, a), (there, b)))
+    rows = right.select(there.alias("_foreign"), F.struct(*(F.col(f"`{c}`") for c in right.columns)).alias(name))
+    return rows, here, there, name
 
 
 def _lookup(state: State, spec: Any) -> State:
@@ -241,9 +237,13 @@ def _lookup_unwound(state: State, spec: Any, keep: bool) -> State:
     return replace(state, df=out)
 
 
-def _sorted(state: State, spec: Any) -> State:
+def _sorted(state: State, spec: Any, stages: Sequence[Any]) -> State:
+    """stages are those that follow. Where the order only matters to a ``$group``, nothing is sorted: its accumulators have it as an argument."""
     pairs = tuple(spec.items() if isinstance(spec, dict) else spec)
-    return replace(state, df=state.df.orderBy(*sort_columns(state.df, pairs, state.key)), sort=pairs)
+    by = sort_columns(state.df, pairs, state.key)
+    following = [next(iter(s), "") for s in stages if isinstance(s, dict)]
+    unseen = next((op for op in following if op != "$match"), "") in ("$group", "$count")
+    return replace(state, df=state.df if unseen else state.df.orderBy(*by), sort=pairs)
 
 
 def aggregate(df: DataFrame, stages: Sequence[dict[str, Any]], tables: Callable[[str], DataFrame] | None = None, key: Sequence[str] = ("_id",)) -> DataFrame:
@@ -266,7 +266,7 @@ def aggregate(df: DataFrame, stages: Sequence[dict[str, Any]], tables: Callable[
         elif op == "$group":
             state = _group(state, spec)
         elif op == "$sort":
-            state = _sorted(state, spec)
+            state = _sorted(state, spec, stages[k + 1 :])
         elif op == "$skip":
             state = replace(state, df=state.df.offset(_count_of(spec, op)))
         elif op == "$limit":

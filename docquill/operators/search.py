@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,37 +40,46 @@ def _query_terms(df: DataFrame, query: str) -> dict[str, int]:
     return {t: one.count(t) for t in one}
 
 
-def _ranked(hits: DataFrame, n: int, terms: dict[str, int], key: Sequence[str]) -> DataFrame:
-    """hits (key..., term, tf, doc_len) to (key..., _score); a repeated query term counts as often."""
-    df_counts = {r.term: r.df for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row per query term
-    weight = F.lit(0.0)
-    for t, times in terms.items():
-        if t in df_counts:
-            idf = F.log(F.lit(float(n)) / F.lit(float(df_counts[t]))) + 1
-            weight = F.when(F.col("term") == t, idf * times).otherwise(weight)
-    return hits.groupBy(*key).agg(F.sum(F.col("tf") / F.col("doc_len") * weight).alias("_score"))
+def _weighted(tf: Column, doc_len: Column, n: Column, df: Column, times: int) -> Column:
+    """What a term adds to a row's score; a repeated query term counts as often."""
+    return tf / doc_len * (F.log(n.cast("double") / df) + 1) * times
 
 
 def text_search(df: DataFrame, fields: Sequence[str], query: str, limit: int = 10, key: Sequence[str] = ("_id",), scope: Column | None = None) -> DataFrame:
     """The rows that score best for a query, with ``_score``.
 
     score = sum over query terms of tf / doc_len * (ln(N / df) + 1); N counts rows with a token. scope, if
-    given, narrows the result but not N and df. One scan counts only the query's terms; nothing is indexed.
+    given, narrows the result but not N and df. Each text is cut once: its length and the counts of the
+    query's terms, a few bytes a row, pass one exchange that both the sums over all rows and the scores read.
+    Rows join their score after the top-k.
     """
     terms = _query_terms(df, query)
-    rows = df.select(*(F.col(f"`{c}`") for c in df.columns), tokens(searchable(df, fields)).alias("_tokens"))
-    n = rows.where(F.size("_tokens") > 0).count()
-    own = rows.select(*key, F.size("_tokens").alias("doc_len"), F.explode(F.filter("_tokens", lambda t: t.isin(list(terms)))).alias("term"))
-    hits = own.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
-    scores = _ranked(hits, n, terms, key)
-    out = (df if scope is None else df.where(scope)).join(scores, list(key))
-    return out.orderBy(F.col("_score").desc(), *key).limit(limit)
+    found = [f"_n{i}" for i in range(len(terms))]
+    inside = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
+    cut = df.select(*key, inside.alias("_in"), tokens(searchable(df, fields)).alias("_tokens")).where(F.size("_tokens") > 0)
+    counts = cut.select(*key, "_in", F.size("_tokens").alias("_len"), F.filter("_tokens", lambda t: t.isin(list(terms))).alias("_own"))
+    counts = counts.select(*key, "_in", "_len", *((F.size("_own") - F.size(F.array_remove("_own", t))).alias(c) for c, t in zip(found, terms, strict=True)))
+    counts = counts.repartition(*key)
+    sums = counts.agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col(c) > 0).cast("bigint")).alias(c) for c in found))
+    sums = sums.select(F.struct("*")).scalar()
+    score = F.lit(0.0)
+    for c, times in zip(found, terms.values(), strict=True):
+        score = score + F.when(F.col(c) > 0, _weighted(F.col(c), F.col("_len"), sums["n"], sums[c], times)).otherwise(0.0)
+    hits = counts.where(F.col("_in") & reduce(lambda a, b: a | b, (F.col(c) > 0 for c in found), F.lit(False)))
+    best = hits.select(*key, score.alias("_score")).orderBy(F.col("_score").desc(), *key).limit(limit)
+    return df.join(F.broadcast(best), list(key)).orderBy(F.col("_score").desc(), *key)  # best has limit rows
 
 
 def search_index(index: DataFrame, n: int, query: str, limit: int = 10, key: Sequence[str] = ("_id",)) -> DataFrame:
-    """text_search over stored postings of n rows: (key..., _score)."""
+    """text_search over stored postings (key..., term, tf, doc_len) of n rows: (key..., _score)."""
     terms = _query_terms(index, query)
-    scores = _ranked(index.where(F.col("term").isin(list(terms))), n, terms, key)
+    hits = index.where(F.col("term").isin(list(terms)))
+    df_counts = {r.term: r.df for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row per query term
+    score = F.lit(0.0)
+    for t, times in terms.items():
+        if t in df_counts:
+            score = F.when(F.col("term") == t, _weighted(F.col("tf"), F.col("doc_len"), F.lit(n), F.lit(df_counts[t]), times)).otherwise(score)
+    scores = hits.groupBy(*key).agg(F.sum(score).alias("_score"))
     return scores.orderBy(F.col("_score").desc(), *key).limit(limit)
 
 

@@ -19,7 +19,7 @@ NOW = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 def _like(value: Any, kind: T.DataType) -> Column:
     """A JSON value as a column of a type."""
     if value is None:
-        return F.lit(None).cast(kind)
+        return F.parse_json(F.lit("null")) if isinstance(kind, T.VariantType) else F.lit(None).cast(kind)
     if isinstance(kind, T.StructType | T.ArrayType | T.MapType):
         return F.from_json(F.lit(values.json_literal(value)), kind)
     if isinstance(kind, T.VariantType):
@@ -35,6 +35,27 @@ def _wanted(found: tuple[Column, T.DataType] | None, path: str, op: str, want: s
         raise InvalidUpdate(f"{op} needs {path} to be of type {want}")
 
 
+def _variant_number(old: Column, path: str, op: str, operand: int | float) -> Column:
+    """$inc or $mul of a mixed field; rows whose value is no number fail the statement when it runs."""
+    key = values.variant_key(old)
+    whole, num, n = key["whole"], key["num"], F.lit(operand)
+    act = (lambda x: x + n) if op == "$inc" else (lambda x: x * n)
+    wrong = F.raise_error(F.lit(f"{op} needs {path} to be of type number")).cast("variant")
+    return (
+        F.when(old.isNull(), act(F.lit(0)).cast("variant")).when(key["rank"] != values.NUMBER, wrong)
+        .when(whole.isNotNull(), act(whole).cast("variant")).otherwise(act(num).cast("variant"))
+    )
+
+
+def touched_by(update: dict[str, Any]) -> set[str]:
+    """The paths that an update writes to."""
+    out = set()
+    for op, fields in update.items():
+        if isinstance(fields, dict):
+            out |= set(fields) | ({v for v in fields.values() if isinstance(v, str)} if op == "$rename" else set())
+    return out
+
+
 def _one(df: DataFrame, op: str, path: str, operand: Any, when: Column) -> DataFrame:
     found = values.field(df, path)
     old = found[0] if found else None
@@ -48,12 +69,14 @@ def _one(df: DataFrame, op: str, path: str, operand: Any, when: Column) -> DataF
         return with_field(df, path, F.when(when, new).otherwise(kept))
 
     if op == "$set":
-        return put(_like(operand, kind) if kind is not None else values.literal(operand))
+        return put(_like(operand, kind if kind is not None else T.VariantType()) if kind is not None or operand is None or operand == {} else values.literal(operand))
     if op == "$unset":
         return put(F.lit(None).cast(kind)) if kind is not None else df
     if op in ("$inc", "$mul"):
         if not isinstance(operand, int | float) or isinstance(operand, bool):
             raise InvalidUpdate(f"{op} takes a number")
+        if isinstance(kind, T.VariantType):
+            return put(_variant_number(old, path, op, operand))
         _wanted(found, path, op, "number")
         base = F.coalesce(old, F.lit(0)) if old is not None else F.lit(0)
         return put(base + F.lit(operand) if op == "$inc" else base * F.lit(operand))

@@ -14,6 +14,7 @@ from docquill.operators.filters import match
 from docquill.operators.pipeline import aggregate
 from docquill.operators.search import search_index, text_index, text_search, vector_search
 from docquill.operators.updates import delete_rows, update_rows
+from docquill.plans import database_queries
 from docquill.plans.sql import select
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,7 +83,7 @@ _filter("filter_in_empty", "part", {"p_size": {"$in": []}}, PART, "false")
 _filter("filter_exists", "customer", {"c_acctbal": {"$exists": True}}, CUST, "c_acctbal IS NOT NULL")
 _filter("filter_not_exists", "customer", {"nickname": {"$exists": False}}, CUST, "true")
 _filter("filter_missing_field", "customer", {"nickname": {"$ne": "x"}}, CUST, "false")
-_filter("filter_regex", "part", {"p_type": {"$regex": "^[A-M].*L$"}}, "p_partkey, p_type", "regexp_matches(p_type, '^[A-M].*L$')")
+_filter("filter_regex", "part", {"p_type": {"$regex": "^[E-L].*(GE|MY)$"}}, "p_partkey, p_type", "regexp_matches(p_type, '^[E-L].*(GE|MY)$')")
 _filter("filter_regex_i", "customer", {"c_mktsegment": {"$regex": "build", "$options": "i"}}, CUST, "regexp_matches(c_mktsegment, 'build', 'i')")
 _filter("filter_and", "orders", {"$and": [{"o_orderstatus": "O"}, {"o_totalprice": {"$lt": 50000}}]}, ORD, "o_orderstatus = 'O' AND o_totalprice < 50000")
 _filter("filter_or", "orders", {"$or": [{"o_orderstatus": "P"}, {"o_totalprice": {"$gte": 300000}}]}, ORD, "o_orderstatus = 'P' OR o_totalprice >= 300000")
@@ -128,7 +129,7 @@ _pipeline("group_count_filtered", "events", [{"$match": {"value": {"$gt": 50}}},
 _pipeline("group_first_last", "orders", [{"$sort": {"o_totalprice": 1}}, {"$group": {"_id": "$o_orderstatus", "a": {"$first": "$o_orderkey"}, "z": {"$last": "$o_orderkey"}}}], f"SELECT o_orderstatus AS {FLAG}, first(o_orderkey ORDER BY o_totalprice, o_orderkey) AS a, last(o_orderkey ORDER BY o_totalprice, o_orderkey) AS z FROM orders GROUP BY 1")
 _pipeline("group_first_desc", "part", [{"$sort": {"p_type": -1}}, {"$group": {"_id": "$p_brand", "a": {"$first": "$p_partkey"}}}], f"SELECT p_brand AS {FLAG}, first(p_partkey ORDER BY p_type DESC, p_partkey) AS a FROM part GROUP BY 1")
 _pipeline("group_push", "nation", [{"$sort": {"n_name": 1}}, {"$group": {"_id": "$n_regionkey", "names": {"$push": "$n_name"}}}], f"SELECT n_regionkey AS {FLAG}, string_agg(n_name, ',' ORDER BY n_name, n_nationkey) AS names FROM nation GROUP BY 1", lambda df: df.withColumn("names", F.array_join("names", ",")))
-_pipeline("group_missing_key", "nation", [{"$group": {"_id": "$nothing", "n": {"$count": {}}}}], "SELECT count(*) AS n FROM nation", lambda df: df.drop("_id"))
+_pipeline("group_missing_key", "nation", [{"$group": {"_id": "$nothing", "n": {"$count": {}}}}], f"SELECT true AS {FLAG}, count(*) AS n FROM nation", lambda df: df.withColumn("_id", F.col("_id").isNull()))
 _pipeline("group_compound_key", "lineitem", [{"$group": {"_id": {"flag": "$l_returnflag", "status": "$l_linestatus"}, "q": {"$sum": "$l_quantity"}}}], "SELECT l_returnflag AS flag, l_linestatus AS status, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2", _flat_id)
 _pipeline("group_expression_key", "lineitem", [{"$group": {"_id": {"$multiply": ["$l_linenumber", 10]}, "n": {"$count": {}}}}], f"SELECT (l_linenumber * 10)::DOUBLE AS {FLAG}, count(*) AS n FROM lineitem GROUP BY 1")
 _pipeline("group_sum_expression", "lineitem", [{"$group": {"_id": "$l_returnflag", "revenue": {"$sum": {"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]}}}}], f"SELECT l_returnflag AS {FLAG}, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY 1", _rounded("revenue", places=2))
@@ -167,12 +168,15 @@ _pipeline("lookup", "region", [{"$lookup": _REGION}], "SELECT r_regionkey, r_nam
 _pipeline("lookup_empty", "customer", [{"$lookup": _ORDERS}, {"$project": {"c_custkey": 1, "orders": 1}}], "SELECT c_custkey, count(o_orderkey)::INT AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1", lambda df: df.select("c_custkey", F.size("orders").alias("n")))
 _pipeline("lookup_unwind", "customer", [{"$lookup": _ORDERS}, {"$unwind": "$orders"}, {"$project": {"c_custkey": 1, "orders.o_orderkey": 1}}], 'SELECT c_custkey, o_orderkey AS "orders.o_orderkey" FROM customer JOIN orders ON o_custkey = c_custkey')
 _pipeline("lookup_unwind_preserve", "customer", [{"$lookup": _ORDERS}, {"$unwind": {"path": "$orders", "preserveNullAndEmptyArrays": True}}, {"$group": {"_id": "$c_mktsegment", "spent": {"$sum": "$orders.o_totalprice"}, "n": {"$count": {}}}}], f"SELECT c_mktsegment AS {FLAG}, round(coalesce(sum(o_totalprice), 0), 2) AS spent, count(*) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1", _rounded("spent", places=2))
+_pipeline("lookup_absent_field", "region", [{"$lookup": {**_REGION, "localField": "nothing"}}, {"$addFields": {"x": 1}}], "SELECT r_regionkey, r_name, 0 AS n, 1 AS x FROM region", lambda df: df.withColumn("n", F.size("nations")).drop("nations"))
+_pipeline("project_mode", "nation", [{"$project": {"n_name": 0, "n_nationkey": 1, "twice": {"$multiply": ["$n_regionkey", 2]}}}], "SELECT n_nationkey, (n_regionkey * 2)::DOUBLE AS twice FROM nation")
+_pipeline("group_first_both_ways", "orders", [{"$sort": {"o_orderpriority": -1, "o_totalprice": 1}}, {"$group": {"_id": "$o_orderstatus", "a": {"$first": "$o_orderkey"}, "z": {"$last": "$o_orderkey"}}}], f"SELECT o_orderstatus AS {FLAG}, first(o_orderkey ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey) AS a, last(o_orderkey ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey) AS z FROM orders GROUP BY 1")
 _pipeline("lookup_twice", "customer", [{"$lookup": {"from": "nation", "localField": "c_nationkey", "foreignField": "n_nationkey", "as": "n"}}, {"$unwind": "$n"}, {"$lookup": {"from": "region", "localField": "n.n_regionkey", "foreignField": "r_regionkey", "as": "r"}}, {"$unwind": "$r"}, {"$group": {"_id": "$r.r_name", "balance": {"$sum": "$c_acctbal"}}}], f"SELECT r_name AS {FLAG}, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1", _rounded("balance", places=2))
 
 # --- SQL ------------------------------------------------------------------------------------------
 
 _sql("sql_where", "SELECT o_orderkey, o_totalprice FROM orders WHERE (o_orderstatus = 'F' OR o_orderstatus = 'P') AND o_totalprice >= 150000")
-_sql("sql_like", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%A_T%'")
+_sql("sql_like", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%A_G%'")
 _sql("sql_between_in", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 9 AND p_brand IN ('Brand#11', 'Brand#22', 'Brand#33')")
 _sql("sql_is_null", "SELECT count(*) AS n FROM customer WHERE c_acctbal IS NOT NULL")
 _sql("sql_order_limit", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 10 OFFSET 5")
@@ -183,11 +187,15 @@ _sql("sql_left_join", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOI
 _sql("sql_right_join", "SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey")
 _sql("sql_full_join", "SELECT n.n_name, s.s_suppkey FROM nation n FULL JOIN supplier s ON n.n_nationkey = s.s_nationkey")
 _sql("sql_semi_join", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
-_sql("sql_anti_join", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+_sql("sql_anti_join", "SELECT p_partkey FROM part LEFT ANTI JOIN lineitem ON p_partkey = l_partkey AND l_quantity > 48", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 _sql("sql_three_way_join", "SELECT r.r_name, count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name")
 _sql("sql_distinct_count", "SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem")
 _sql("sql_with_subquery", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT count(*) AS n FROM (SELECT * FROM big WHERE s > 500000) t")
 _sql("sql_union", "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey AS k FROM customer")
+_sql("sql_not_forms", "SELECT p_partkey FROM part WHERE p_size NOT IN (1, 2, 3) AND p_size NOT BETWEEN 20 AND 30 AND p_type NOT LIKE 'S%' AND NOT (p_brand = 'Brand#2')")
+_sql("sql_global_aggregate_empty", "SELECT count(*) AS n, sum(p_size) AS s, max(p_name) AS hi FROM part WHERE p_size < 0")
+_sql("sql_intersect_except", "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey AS k FROM customer EXCEPT SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 1")
+_add("sql_unaliased_aggregates", lambda s, d: select(s, "SELECT sum(l_quantity), sum(l_linenumber), sum(l_quantity) FROM lineitem", lambda n: table(s, d, n)).toDF("a", "b", "c"), "SELECT sum(l_quantity) AS a, sum(l_linenumber)::BIGINT AS b, sum(l_quantity) AS c FROM lineitem")
 _sql("sql_window", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders", None)
 
 # --- updates --------------------------------------------------------------------------------------
@@ -207,7 +215,7 @@ _update("update_mul", "part", {"p_size": {"$lt": 10}}, {"$mul": {"p_retailprice"
 _update("update_min", "part", {}, {"$min": {"p_size": 20}}, {"p_partkey": "p_partkey", "p_size": "least(p_size, 20)"})
 _update("update_max", "part", {}, {"$max": {"p_size": 20}}, {"p_partkey": "p_partkey", "p_size": "greatest(p_size, 20)"})
 _update("update_rename", "customer", {}, {"$rename": {"c_name": "full_name"}}, {**_C, "c_name": "NULL::VARCHAR", "full_name": "c_name"})
-_update("update_current_date", "nation", {"n_nationkey": 3}, {"$currentDate": {"seen": True}}, {"n_nationkey": "n_nationkey", "seen": "n_nationkey = 3"}, then=lambda df: df.withColumn("seen", F.coalesce(F.col("seen").rlike("^[0-9]{4}-.*Z$"), F.lit(False))))
+_update("update_current_date", "nation", {"n_nationkey": 3}, {"$currentDate": {"seen": True}}, {"n_nationkey": "n_nationkey", "seen": "n_nationkey = 3"}, then=lambda df: df.withColumn("seen", F.coalesce(F.abs(F.unix_millis(F.to_timestamp("seen")) - F.unix_millis(F.current_timestamp())) < 3_600_000, F.lit(False))))
 
 
 def _tagged(df: DataFrame) -> DataFrame:
@@ -247,7 +255,7 @@ def _scored(df: DataFrame, key: str) -> DataFrame:
 
 
 _DOCS = f"SELECT doc_id AS k, {_TOKENS.format('text')} AS t FROM documents"
-_add("text_search", lambda s, d: _scored(text_search(table(s, d, "documents"), ["text"], "theoron", 10, ("doc_id",)), "doc_id"), _tf_idf(_DOCS, ["theoron"], 10))
+_add("text_search", lambda s, d: _scored(text_search(table(s, d, "documents"), ["text"], "erin", 10, ("doc_id",)), "doc_id"), _tf_idf(_DOCS, ["erin"], 10))
 _add("text_search_multi", lambda s, d: _scored(text_search(table(s, d, "documents"), ["text"], "Tion, hand THE tion under erin", 20, ("doc_id",)), "doc_id"), _tf_idf(_DOCS, ["tion", "hand", "tion", "under", "erin"], 20))
 
 
@@ -294,3 +302,9 @@ _add(
     f"SELECT event_type AS {FLAG}, sum({_K})::DOUBLE AS total, max({_K}) AS hi FROM events GROUP BY 1",
 )
 
+# --- databases ------------------------------------------------------------------------------------
+
+for _name, (_build, _oracle) in database_queries.ALL.items():
+    _add(_name, database_queries.query(_build), _oracle)
+_filter("filter_scan", "lineitem", {"l_shipdate": {"$gte": "1995-03-01", "$lt": "1995-03-08"}}, "l_orderkey, l_linenumber", "l_shipdate >= TIMESTAMP '1995-03-01' AND l_shipdate < TIMESTAMP '1995-03-08'")
+_pipeline("filter_regex_scan", "lineitem", [{"$match": {"l_returnflag": {"$regex": "^[AN]$"}, "l_linestatus": {"$regex": "o", "$options": "i"}}}, {"$count": "n"}], "SELECT count(*) AS n FROM lineitem WHERE regexp_matches(l_returnflag, '^[AN]$') AND regexp_matches(l_linestatus, 'o', 'i')")

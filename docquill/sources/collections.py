@@ -1,18 +1,29 @@
 """Versioned collections: Parquet folders under a manifest, replaced in one step.
 
-A commit writes new folders, then one new manifest ``m-<n>.json`` that must not exist yet; that write is the
-commit. Readers take the highest manifest. Appends add a folder; updates and deletes write all rows anew.
-Change events of a commit are a folder of their own in the change log, named in the same manifest.
+A change is drafted against one version: its data, postings and change events go to folders with names of
+their own, which nobody reads yet. One new manifest ``m-<n>.json`` that must not exist yet names them; that
+write is the commit. Who comes second drops its folders, and tries again on the new version. Readers take
+the newest committed manifest. Change events lie in a hidden folder until the commit, then they are moved to
+where streams look.
+
+A transaction over several collections publishes a manifest in each that names the transaction, then one
+record that says ``committed``. Readers pass over manifests whose transaction has no such record, so either
+all of its changes are seen or none.
+
+Appends add a folder; updates and deletes replace the folders that hold rows they match.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +31,12 @@ from pyspark.sql import types as T
 from docquill.errors import DocquillError, TransactionConflict, UniqueViolation
 from docquill.functions import values
 from docquill.operators.filters import compile_filter
-from docquill.operators.updates import apply_update
+from docquill.operators.search import text_index
+from docquill.operators.updates import apply_update, touched_by
 
 CHANGES = "token bigint, operation string, collection string, doc_id bigint, document string, tx_id string"
+POSTINGS = "term string, _id bigint, tf bigint, doc_len int"
+RETRIES, PATIENCE, RETAIN = 10, 10.0, 86_400.0
 
 
 class Files:
@@ -38,9 +52,16 @@ class Files:
     def fs(self):
         return self.path().getFileSystem(self.conf)
 
-    def names(self, *parts: str) -> list[str]:
+    def _listed(self, *parts: str) -> list[Any]:
         where = self.path(*parts)
-        return sorted(s.getPath().getName() for s in self.fs().listStatus(where)) if self.fs().exists(where) else []
+        return list(self.fs().listStatus(where)) if self.fs().exists(where) else []
+
+    def names(self, *parts: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._listed(*parts))
+
+    def times(self, *parts: str) -> dict[str, float]:
+        """When each entry was last written, in seconds."""
+        return {s.getPath().getName(): s.getModificationTime() / 1000 for s in self._listed(*parts)}
 
     def read(self, *parts: str) -> bytes:
         stream = self.fs().open(self.path(*parts))
@@ -50,24 +71,60 @@ class Files:
             stream.close()
 
     def create(self, data: bytes, *parts: str) -> bool:
-        """Writes a file that doesn't exist yet; False where it does."""
-        part = self.path(*parts[:-1], f".{parts[-1]}.{time.time_ns()}")
-        stream = self.fs().create(part, False)
+        """Writes a file that must not exist yet, whole or not at all; False where it exists.
+
+        Of several writers at once one wins: object stores get a conditional put, local files an
+        exclusive link, all others a rename, which there never replaces a file.
+        """
+        target, fs = self.path(*parts), self.fs()
+        scheme = fs.getScheme()
+        if scheme in ("s3a", "gs"):
+            builder = fs.createFile(target).overwrite(False)
+            if scheme == "s3a":
+                builder = builder.must("fs.option.create.conditional.overwrite", True)
+            try:
+                stream = builder.build()
+                stream.write(bytearray(data))
+                stream.close()
+            except Py4JJavaError as e:
+                if "Exist" in e.java_exception.getClass().getName() or "412" in str(e.java_exception.getMessage()):
+                    return False
+                raise
+            return True
+        part = self.path(*parts[:-1], f".{parts[-1]}.{uuid.uuid4().hex}")
+        stream = fs.create(part, False)
         stream.write(bytearray(data))
         stream.close()
-        if self.fs().exists(self.path(*parts)) or not self.fs().rename(part, self.path(*parts)):
-            self.fs().delete(part, False)
+        try:
+            if scheme == "file":
+                os.link(part.toUri().getPath(), target.toUri().getPath())
+                return True
+            return not fs.exists(target) and bool(fs.rename(part, target))
+        except FileExistsError:
             return False
-        return True
+        finally:
+            fs.delete(part, False)
 
     def put(self, data: bytes, *parts: str) -> None:
         stream = self.fs().create(self.path(*parts), True)
         stream.write(bytearray(data))
         stream.close()
 
+    def move(self, source: str, target: str) -> None:
+        """Renames a folder; nothing happens where it was renamed already."""
+        if self.exists(source) and not self.exists(target):
+            try:
+                self.fs().rename(self.path(source), self.path(target))
+            except Py4JJavaError:
+                if not self.exists(target):
+                    raise
+
     def exists(self, *parts: str) -> bool:
         return self.fs().exists(self.path(*parts))
 
+    def size(self, *parts: str) -> int:
+        return self.fs().getContentSummary(self.path(*parts)).getLength() if self.exists(*parts) else 0
+
     def make(self, *parts: str) -> None:
         self.fs().mkdirs(self.path(*parts))
 
@@ -81,6 +138,8 @@ class Files:
 
 @dataclass(frozen=True)
 class Manifest:
+    """postings: for each data folder, with a text index, its folder of postings and its number of rows with a token."""
+
     version: int = 0
     schema: str = ""
     folders: tuple[str, ...] = ()
@@ -88,12 +147,17 @@ class Manifest:
     token: int = 0
     first_token: int = 1
     changes: tuple[str, ...] = ()
-    indexes: tuple[dict[str, Any], ...] = field(default_factory=tuple)
+    indexes: tuple[dict[str, Any], ...] = ()
+    postings: dict[str, list[Any]] = field(default_factory=dict)
+    tx: str | None = None
+
+    def named(self) -> set[str]:
+        return {*self.folders, *self.changes, *(p for p, _ in self.postings.values())}
 
 
 def _type_of(value: Any) -> T.DataType | None:
     if value is None:
-        return None
+        return T.NullType()
     if isinstance(value, bool):
         return T.BooleanType()
     if isinstance(value, int):
@@ -105,16 +169,15 @@ def _type_of(value: Any) -> T.DataType | None:
     if isinstance(value, list):
         item: T.DataType | None = None
         for v in value:
-            item = merge_types(item, _type_of(v))
+            item = merge_types(item, None if v is None else _type_of(v))  # arrays of any type hold nulls
         return T.ArrayType(item or T.StringType())
     if isinstance(value, dict):
-        kinds = {k: _type_of(v) for k, v in value.items()}
-        return T.StructType([T.StructField(k, t) for k, t in kinds.items() if t is not None])
+        return T.StructType([T.StructField(k, _type_of(v)) for k, v in value.items()])
     raise DocquillError(f"not a JSON value: {type(value).__name__}")
 
 
 def merge_types(a: T.DataType | None, b: T.DataType | None) -> T.DataType | None:
-    """A type for values of both; values of different kinds share only VARIANT."""
+    """A type for values of both; values of different kinds, or an explicit null beside others, share only VARIANT."""
     if a is None or b is None or a == b:
         return b if a is None else a
     if values.is_number(a) and values.is_number(b):
@@ -128,9 +191,20 @@ def merge_types(a: T.DataType | None, b: T.DataType | None) -> T.DataType | None
     return T.VariantType()
 
 
+def storable(kind: T.DataType) -> T.DataType:
+    """A type for Parquet: what held nothing but explicit nulls, or empty objects, is VARIANT."""
+    if isinstance(kind, T.NullType) or (isinstance(kind, T.StructType) and not kind.fields):
+        return T.VariantType()
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, storable(f.dataType)) for f in kind])
+    return T.ArrayType(storable(kind.elementType)) if isinstance(kind, T.ArrayType) else kind
+
+
 def convert(column: Column, old: T.DataType, new: T.DataType) -> Column:
     if old == new:
         return column
+    if isinstance(old, T.NullType):
+        return F.lit(None).cast(new)
     if isinstance(new, T.VariantType):
         return F.parse_json(F.to_json(column)) if isinstance(old, T.StructType | T.ArrayType | T.MapType) else column.cast("variant")
     if isinstance(old, T.StructType | T.ArrayType):
@@ -154,24 +228,297 @@ def numbered(df: DataFrame, name: str, first: int, folder: str) -> DataFrame:
     return out.withColumn(name, F.lit(first) + F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
 
 
+def _json_row(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))
+
+
+class Draft:
+    """Changes of one collection on top of one version; ``m`` is the manifest that publishing would make current."""
+
+    def __init__(self, own: Collection, tx_id: str | None = None):
+        self.own, self.spark, self.tx_id, self.made = own, own.spark, tx_id, []
+        self.base, self.top = own.settled()
+        self.m = self.base
+
+    def _path(self, folder: str) -> str:
+        return f"{self.own.files.root}/{folder}"
+
+    def _new(self, kind: str) -> str:
+        folder = f"{kind}-{uuid.uuid4().hex}"
+        self.made.append(folder)
+        return folder
+
+    def discard(self) -> None:
+        for folder in self.made:
+            self.own.files.remove(folder)
+            self.own.files.remove(f".{folder}")
+        self.made = []
+
+    def read(self) -> DataFrame:
+        return self.own.read(self.m)
+
+    def _write(self, rows: DataFrame) -> str:
+        """A new data folder, with its postings where there is a text index."""
+        folder = self._new("d")
+        rows.write.mode("overwrite").parquet(self._path(folder))
+        self._index(folder, rows.schema)
+        return folder
+
+    def _index(self, folder: str, schema: T.StructType) -> None:
+        index = next((i for i in self.m.indexes if i["index_type"] == "text"), None)
+        if index is None:
+            return
+        rows = self.spark.read.schema(schema).parquet(self._path(folder))
+        name = self._new("p")
+        # ranges of terms, each in order, so that a search reads few row groups
+        found = text_index(rows, index["fields"], ["_id"]).select("term", "_id", "tf", F.col("doc_len").cast("int").alias("doc_len"))
+        found.repartitionByRange("term", "_id").sortWithinPartitions("term").write.mode("overwrite").parquet(self._path(name))
+        n = self.spark.read.schema(POSTINGS).parquet(self._path(name)).agg(F.count_distinct("_id")).first()[0]
+        self.m = replace(self.m, postings={**self.m.postings, folder: [name, n]})
+
+    def _forget(self, folders: Sequence[str]) -> None:
+        self.m = replace(self.m, folders=tuple(f for f in self.m.folders if f not in folders), postings={k: v for k, v in self.m.postings.items() if k not in folders})
+
+    def _events(self, operation: str, rows: DataFrame, ready: bool = False) -> int:
+        """Writes the change events of rows (doc_id, document, with ready also token); returns their number."""
+        folder = self._new("c")
+        events = rows if ready else numbered(rows, "token", self.m.token + 1, self._path(f".t-{folder}"))
+        events = events.select("token", F.lit(operation).alias("operation"), F.lit(self.own.name).alias("collection"), "doc_id", "document", F.lit(self.tx_id).cast("string").alias("tx_id"))
+        events.write.mode("overwrite").parquet(self._path(f".{folder}"))
+        self.own.files.remove(f".t-{folder}")
+        n = self.spark.read.schema(CHANGES).parquet(self._path(f".{folder}")).count()
+        self.m = replace(self.m, token=self.m.token + n, changes=(*self.m.changes, folder))
+        return n
+
+    def insert(self, docs: Sequence[dict[str, Any]] | DataFrame) -> list[int]:
+        m, own = self.m, self.own
+        plain = T.StructType([f for f in own.schema(m) if f.name not in ("_id", "_version")])
+        if isinstance(docs, DataFrame):
+            fresh, ids = docs.drop("_id", "_version", *(f.name for f in docs.schema if isinstance(f.dataType, T.NullType))), None
+            schema = merge_types(plain, fresh.schema)
+        else:
+            if any(not isinstance(d, dict) for d in docs):
+                raise DocquillError("a document is an object")
+            if not docs:
+                return []
+            docs = [{k: v for k, v in d.items() if k not in ("_id", "_version")} for d in docs]
+            ids, schema = list(range(m.next_id, m.next_id + len(docs))), plain
+            for d in docs:
+                schema = merge_types(schema, _type_of(d))
+        full = storable(T.StructType([T.StructField("_id", T.LongType()), T.StructField("_version", T.LongType()), *schema.fields]))
+        staged = None
+        if ids is None:
+            staged = f".t-{uuid.uuid4().hex}"
+            rows = numbered(fresh, "_id", m.next_id, self._path(staged)).withColumn("_version", F.lit(1).cast("bigint"))
+        else:
+            rows = own._rows([{"_id": i, "_version": 1, **d} for i, d in zip(ids, docs, strict=True)], full)
+        rows = own._as(rows, full)
+        rewrite = any(full[f.name].dataType != f.dataType for f in own.schema(m))
+        before = own._as(own.read(m), full)
+        self._check_new(before, rows)
+        old = m.folders
+        self.m = replace(m, schema=json.dumps(full.jsonValue()))
+        if rewrite and old:  # a field changed its type: all folders are written anew
+            again = self._write(before)
+            self._forget(old)
+            self.m = replace(self.m, folders=(again,))
+        folder = self._write(rows)
+        self.m = replace(self.m, folders=(*self.m.folders, folder))
+        added = self.spark.read.schema(full).parquet(self._path(folder))
+        if staged:
+            own.files.remove(staged)
+        # ids are consecutive, so tokens follow from them
+        token = (F.col("_id") - m.next_id + m.token + 1).alias("token")
+        n = self._events("insert", added.select(token, F.col("_id").alias("doc_id"), _json_row(added).alias("document")), ready=True)
+        self.m = replace(self.m, next_id=m.next_id + n)
+        return ids if ids is not None else []
+
+    def _unique(self) -> list[dict[str, Any]]:
+        return [i for i in self.m.indexes if i["unique"]]
+
+    def _keys(self, df: DataFrame, index: dict[str, Any]) -> DataFrame | None:
+        """The keys of the rows that have all fields of an index; None where no row can."""
+        found = [values.field(df, f) for f in index["fields"]]
+        if not all(found):
+            return None
+        for column, _ in found:
+            df = df.where(column.isNotNull())
+        return df.select(*(values.sort_key(*x).alias(f"k{n}") for n, x in enumerate(found)))
+
+    def _twice(self, keys: DataFrame | None) -> bool:
+        return keys is not None and not keys.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+    def _check_new(self, before: DataFrame, rows: DataFrame) -> None:
+        """Unique indexes against rows to add: only their keys are counted and looked up."""
+        for index in self._unique():
+            new = self._keys(rows, index)
+            if new is None:
+                continue
+            there = self._keys(before, index)
+            same = [F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in new.columns]
+            if self._twice(new) or (there is not None and not there.alias("old").join(new.alias("new"), same, "left_semi").isEmpty()):
+                raise UniqueViolation(f"{self.own.name}: {index['name']}")
+
+    def check_all(self, df: DataFrame, touched: set[str] | None = None) -> None:
+        """Unique indexes of all rows; with touched, only those on a field that changed."""
+        for index in self._unique():
+            if touched is None or any(f == t or f.startswith(f"{t}.") or t.startswith(f"{f}.") for f in index["fields"] for t in touched):
+                if self._twice(self._keys(df, index)):
+                    raise UniqueViolation(f"{self.own.name}: {index['name']}")
+
+    def _matched(self, query: dict[str, Any] | Column, limit: int | None) -> tuple[list[str], Column, DataFrame]:
+        """(folders with a matching row, the condition, the matching rows' _id)."""
+        df = self.read()
+        when = F.coalesce(query if isinstance(query, Column) else compile_filter(df.schema, query), F.lit(False))
+        if not self.m.folders:
+            return [], when, df.select("_id")
+        place = F.regexp_extract("_metadata.file_path", r"/(d-[0-9a-f]+)/[^/]+$", 1).alias("place")
+        if limit is not None:
+            chosen = df.where(when).select("_id", place).orderBy("_id").limit(limit).collect()  # limit rows
+            when = F.col("_id").isin([r._id for r in chosen])
+            return sorted({r.place for r in chosen}), when, df.where(when).select("_id")
+        hit = df.where(when).select(place).groupBy("place").count().collect()  # a row per folder
+        return sorted(r.place for r in hit), when, df.where(when).select("_id")
+
+    def update(self, query: dict[str, Any] | Column, update: dict[str, Any] | Callable[[DataFrame, Column], DataFrame], limit: int | None = None, touched: set[str] | None = None) -> int:
+        m, own = self.m, self.own
+        hit, when, ids = self._matched(query, limit)
+        if not hit:
+            return 0
+
+        def changed(df: DataFrame) -> DataFrame:
+            marked = df.withColumn("_when", when)
+            if isinstance(update, dict):  # a field that gets a value of another kind, or a null, becomes a variant
+                for op, path, operand in ((op, p, v) for op in ("$set", "$min", "$max") for p, v in dict(update.get(op) or {}).items()):
+                    if path in df.columns and (not values.same_kind(df.schema[path].dataType, operand) or (operand is None and op == "$set")):
+                        marked = marked.withColumn(path, convert(F.col(f"`{path}`"), df.schema[path].dataType, T.VariantType()))
+            after = apply_update(marked, update, F.col("_when")) if isinstance(update, dict) else update(marked, F.col("_when"))
+            return after.withColumn("_version", F.when(F.col("_when"), F.col("_version") + 1).otherwise(F.col("_version"))).drop("_when")
+
+        schema = storable(changed(own.read(m)).schema)
+        names = {f.name: f.dataType for f in schema}
+        whole = any(f.name not in names or names[f.name] != f.dataType for f in own.schema(m))
+        replaced = list(m.folders) if whole else hit
+        after = own._as(changed(own.read(replace(m, folders=tuple(replaced)))), schema)
+        if touched is None and isinstance(update, dict):
+            touched = touched_by(update)
+        rest = own._as(own.read(replace(m, folders=tuple(f for f in m.folders if f not in replaced))), schema)
+        self.check_all(rest.unionByName(after), touched)
+        return self._replace("update", replaced, after, schema, ids)
+
+    def delete(self, query: dict[str, Any] | Column, limit: int | None = None) -> int:
+        m, own = self.m, self.own
+        hit, when, ids = self._matched(query, limit)
+        if not hit:
+            return 0
+        return self._replace("delete", hit, own.read(replace(m, folders=tuple(hit))).where(~when), own.schema(m), ids)
+
+    def _replace(self, operation: str, old: list[str], after: DataFrame, schema: T.StructType, ids: DataFrame) -> int:
+        n = self._events(operation, ids.select(F.col("_id").alias("doc_id"), F.lit(None).cast("string").alias("document")))
+        self._forget(old)
+        self.m = replace(self.m, schema=json.dumps(schema.jsonValue()))
+        folder = self._write(after)
+        self.m = replace(self.m, folders=(*self.m.folders, folder))
+        return n
+
+    def add_index(self, kind: str, fields: Sequence[str], unique: bool = False, **more: Any) -> str:
+        name = {"text": "_text", "vector": f"_vec_{fields[0]}"}.get(kind, "_".join(fields))
+        if any(i["name"] == name for i in self.m.indexes):
+            return name
+        self.m = replace(self.m, indexes=(*self.m.indexes, {"name": name, "index_type": kind, "fields": list(fields), "unique": unique, **more}))
+        if unique:
+            self.check_all(self.read())
+        if kind == "text":
+            for folder in self.m.folders:
+                self._index(folder, self.own.schema(self.m))
+        return name
+
+    def drop_index(self, name: str) -> None:
+        if not any(i["name"] == name for i in self.m.indexes):
+            raise DocquillError(f"no index {name}")
+        self.m = replace(self.m, indexes=tuple(i for i in self.m.indexes if i["name"] != name), postings={} if name == "_text" else self.m.postings)
+
+    def compact(self) -> None:
+        df, old = self.read(), self.m.folders
+        if old:
+            folder = self._write(df)
+            self._forget(old)
+            self.m = replace(self.m, folders=(folder,))
+        self.m = replace(self.m, changes=(), first_token=self.m.token + 1)
+
+
 class Collection:
     """One collection below a database folder."""
 
     def __init__(self, spark: SparkSession, root: str, name: str):
-        self.spark, self.name, self.files = spark, name, Files(spark, f"{root}/{name}")
+        self.spark, self.name, self.files, self.records = spark, name, Files(spark, f"{root}/{name}"), Files(spark, f"{root}/_tx")
 
-    def manifest(self) -> Manifest:
-        found = [n for n in self.files.names() if n.startswith("m-")]
-        if not found:
-            return Manifest()
-        data = json.loads(self.files.read(found[-1]))
+    def decision(self, tx: str) -> str | None:
+        """What became of a transaction over several collections; None while it is open."""
+        return self.records.read(tx).decode() if self.records.exists(tx) else None
+
+    def _load(self, name: str) -> Manifest:
+        data = json.loads(self.files.read(name))
         return Manifest(**{k: tuple(v) if isinstance(v, list) else v for k, v in data.items()})
 
-    def _publish(self, old: Manifest, new: Manifest) -> Manifest:
-        new = replace(new, version=old.version + 1)
-        if not self.files.create(json.dumps(asdict(new)).encode(), f"m-{new.version:012d}.json"):
-            raise TransactionConflict(f"{self.name} was changed meanwhile")
-        return new
+    def _latest(self) -> tuple[Manifest, int, str | None]:
+        """(the newest committed version, the highest number taken, an open transaction on top of it)."""
+        found, open_tx = [n for n in self.files.names() if n.startswith("m-")], None
+        top = int(found[-1][2:-5]) if found else 0
+        for name in reversed(found):
+            m = self._load(name)
+            decided = "committed" if m.tx is None else self.decision(m.tx)
+            if decided == "committed":
+                return m, top, open_tx
+            open_tx = m.tx if decided is None else open_tx
+        return Manifest(), top, open_tx
+
+    def manifest(self) -> Manifest:
+        return self._latest()[0]
+
+    def settled(self) -> tuple[Manifest, int]:
+        """(the newest version, the highest number taken), for a writer: open transactions come to their end first.
+
+        Between its manifests and its record a transaction only writes a few bytes. One that stays open
+        longer than PATIENCE has lost its client, and is aborted.
+        """
+        until = time.monotonic() + PATIENCE
+        while True:
+            m, top, open_tx = self._latest()
+            if open_tx is None:
+                return m, top
+            if time.monotonic() > until:
+                self.records.create(b"aborted", open_tx)
+            time.sleep(0.05)
+
+    def publish(self, draft: Draft, tx: str | None = None) -> bool:
+        """Commits a draft, or, with tx, makes it wait for that transaction's record; False where another came first."""
+        new = replace(draft.m, version=draft.top + 1, tx=tx)
+        done = self.files.create(json.dumps(asdict(new)).encode(), f"m-{new.version:012d}.json")
+        if done and tx is None:
+            self.reveal(new)
+        return done
+
+    def reveal(self, m: Manifest) -> None:
+        """Moves the events of a committed version to where streams look; who finds them still hidden does it."""
+        hidden = set(self.files.names())
+        for folder in m.changes:
+            if f".{folder}" in hidden:
+                self.files.move(f".{folder}", folder)
+
+    def change(self, step: Callable[[Draft], Any], tx_id: str | None = None) -> Any:
+        """Drafts and publishes; a writer that was overtaken tries again on the new version."""
+        for _ in range(RETRIES):
+            draft = Draft(self, tx_id)
+            try:
+                out = step(draft)
+                if draft.m == draft.base or self.publish(draft):
+                    return out
+            except BaseException:
+                draft.discard()
+                raise
+            draft.discard()
+        raise TransactionConflict(f"{self.name} was changed meanwhile, {RETRIES} times")
 
     def schema(self, m: Manifest) -> T.StructType:
         base = [T.StructField("_id", T.LongType()), T.StructField("_version", T.LongType())]
@@ -185,146 +532,67 @@ class Collection:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.files.root}/{f}" for f in m.folders))
 
+    def postings(self, m: Manifest | None = None) -> tuple[DataFrame, int]:
+        """(term, _id, tf, doc_len) of the text index, and the number of rows with a token."""
+        m = m or self.manifest()
+        if not m.postings:
+            return self.spark.createDataFrame([], POSTINGS), 0
+        return self.spark.read.schema(POSTINGS).parquet(*(f"{self.files.root}/{p}" for p, _ in m.postings.values())), sum(n for _, n in m.postings.values())
+
     def _rows(self, docs: Sequence[dict[str, Any]], schema: T.StructType) -> DataFrame:
         text = [(json.dumps(d),) for d in docs]
         return self.spark.createDataFrame(text, "j string").select(F.from_json("j", schema).alias("d")).select("d.*")
 
-    def _log(self, m: Manifest, folder: str, operation: str, ids: DataFrame, tx_id: str | None) -> tuple[int, tuple[str, ...]]:
-        """Writes the change events of ids (_id, document); returns the next last token and the folders."""
-        rows = ids.select(F.col("_id").alias("doc_id"), "document").orderBy("_id")
-        staged = f"{self.files.root}/.t-{folder}"
-        events = numbered(rows, "token", m.token + 1, staged)
-        events = events.select("token", F.lit(operation).alias("operation"), F.lit(self.name).alias("collection"), "doc_id", "document", F.lit(tx_id).cast("string").alias("tx_id"))
-        events.write.mode("overwrite").parquet(f"{self.files.root}/{folder}")
-        self.files.remove(f".t-{folder}")
-        n = self.spark.read.schema(CHANGES).parquet(f"{self.files.root}/{folder}").count()
-        return m.token + n, (*m.changes, folder)
-
-    def _check_unique(self, m: Manifest, df: DataFrame) -> None:
-        for index in m.indexes:
-            if index["unique"]:
-                found = [values.field(df, f) for f in index["fields"]]
-                if all(found):
-                    keys = [values.sort_key(*x) for x in found]
-                    present = df
-                    for column, _ in found:
-                        present = present.where(column.isNotNull())
-                    if not present.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-                        raise UniqueViolation(f"{self.name}: {index['name']}")
+    def _as(self, df: DataFrame, schema: T.StructType) -> DataFrame:
+        have = {f.name: f.dataType for f in df.schema}
+        return df.select(*((convert(F.col(f"`{f.name}`"), have[f.name], f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema))
 
     def insert(self, docs: Sequence[dict[str, Any]] | DataFrame, tx_id: str | None = None) -> list[int]:
         """Appends all or nothing; ids count on from the last one and replace any that documents bring along.
 
         A DataFrame is appended without passing the driver; then no ids are returned.
         """
-        m = self.manifest()
-        if isinstance(docs, DataFrame):
-            fresh, ids = docs.drop("_id", "_version"), None
-            schema = merge_types(T.StructType([f for f in self.schema(m) if not f.name.startswith("_")]), fresh.schema)
-        else:
-            if any(not isinstance(d, dict) for d in docs):
-                raise DocquillError("a document is an object")
-            if not docs:
-                return []
-            docs = [{k: v for k, v in d.items() if k not in ("_id", "_version")} for d in docs]
-            ids = list(range(m.next_id, m.next_id + len(docs)))
-            schema = T.StructType([f for f in self.schema(m) if not f.name.startswith("_")])
-            for d in docs:
-                schema = merge_types(schema, _type_of(d))
-        full = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_version", T.LongType()), *schema.fields])
-        folder = f"d-{m.version + 1:012d}"
-        if ids is None:
-            rows = numbered(fresh, "_id", m.next_id, f"{self.files.root}/.t-{folder}").withColumn("_version", F.lit(1).cast("bigint"))
-        else:
-            rows = self._rows([{"_id": i, "_version": 1, **d} for i, d in zip(ids, docs, strict=True)], full)
-        rows = self._as(rows, full)
-        old = self.schema(m)
-        rewrite = any(full[f.name].dataType != f.dataType for f in old)
-        before = self._as(self.read(m), full)
-        self._check_unique(m, before.unionByName(rows))
-        (before.unionByName(rows) if rewrite else rows).write.mode("overwrite").parquet(f"{self.files.root}/{folder}")
-        new = replace(m, schema=json.dumps(full.jsonValue()), folders=(folder,) if rewrite else (*m.folders, folder))
-        added = self.spark.read.schema(full).parquet(f"{self.files.root}/{folder}").where(F.col("_id") >= m.next_id)
-        n = added.count()
-        self.files.remove(f".t-{folder}")
-        document = F.to_json(F.struct(*(F.col(f"`{f.name}`") for f in full)))
-        token, changes = self._log(m, f"c-{m.version + 1:012d}", "insert", added.select("_id", document.alias("document")), tx_id)
-        self._publish(m, replace(new, next_id=m.next_id + n, token=token, changes=changes))
-        return ids if ids is not None else []
-
-    def _as(self, df: DataFrame, schema: T.StructType) -> DataFrame:
-        have = {f.name: f.dataType for f in df.schema}
-        return df.select(*((convert(F.col(f"`{f.name}`"), have[f.name], f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema))
-
-    def _rewrite(self, m: Manifest, after: DataFrame, operation: str, ids: DataFrame, tx_id: str | None) -> int:
-        folder, log = f"d-{m.version + 1:012d}", f"c-{m.version + 1:012d}"
-        n = ids.count()
-        if not n:
-            return 0
-        self._check_unique(m, after)
-        after.write.mode("overwrite").parquet(f"{self.files.root}/{folder}")
-        token, changes = self._log(m, log, operation, ids.select("_id", F.lit(None).cast("string").alias("document")), tx_id)
-        self._publish(m, replace(m, schema=json.dumps(after.schema.jsonValue()), folders=(folder,), token=token, changes=changes))
-        return n
+        return self.change(lambda d: d.insert(docs), tx_id)
 
-    def update(self, query: dict[str, Any] | Column, update: dict[str, Any] | Callable[[DataFrame, Column], DataFrame], limit: int | None = None, tx_id: str | None = None) -> int:
+    def update(
+        self, query: dict[str, Any] | Column, update: dict[str, Any] | Callable[[DataFrame, Column], DataFrame], limit: int | None = None, tx_id: str | None = None,
+        touched: set[str] | None = None,
+    ) -> int:
         """Updates matching rows (the first ``limit`` by _id); an error leaves the collection as it was."""
-        m = self.manifest()
-        df = self.read(m)
-        when = F.coalesce(query if isinstance(query, Column) else compile_filter(df.schema, query), F.lit(False))
-        ids = df.where(when).select("_id")
-        if limit is not None:
-            chosen = [r._id for r in ids.orderBy("_id").limit(limit).collect()]
-            ids, when = ids.where(F.col("_id").isin(chosen)), F.col("_id").isin(chosen)
-        marked = df.withColumn("_when", when)
-        if isinstance(update, dict):  # a field that gets a value of another kind becomes a variant
-            for path, operand in ((p, v) for op in ("$set", "$min", "$max") for p, v in dict(update.get(op) or {}).items()):
-                if path in df.columns and not values.same_kind(df.schema[path].dataType, operand):
-                    marked = marked.withColumn(path, convert(F.col(f"`{path}`"), df.schema[path].dataType, T.VariantType()))
-        after = apply_update(marked, update, F.col("_when")) if isinstance(update, dict) else update(marked, F.col("_when"))
-        after = after.withColumn("_version", F.when(F.col("_when"), F.col("_version") + 1).otherwise(F.col("_version"))).drop("_when")
-        return self._rewrite(m, after, "update", ids, tx_id)
+        return self.change(lambda d: d.update(query, update, limit, touched), tx_id)
 
     def delete(self, query: dict[str, Any] | Column, limit: int | None = None, tx_id: str | None = None) -> int:
-        m = self.manifest()
-        df = self.read(m)
-        when = F.coalesce(query if isinstance(query, Column) else compile_filter(df.schema, query), F.lit(False))
-        ids = df.where(when).select("_id")
-        if limit is not None:
-            chosen = [r._id for r in ids.orderBy("_id").limit(limit).collect()]
-            ids, when = ids.where(F.col("_id").isin(chosen)), F.col("_id").isin(chosen)
-        return self._rewrite(m, df.where(~when), "delete", ids, tx_id)
-
-    def versions(self, ids: Sequence[int]) -> dict[int, int]:
-        return {r._id: r._version for r in self.read().where(F.col("_id").isin(list(ids))).select("_id", "_version").collect()}
+        return self.change(lambda d: d.delete(query, limit), tx_id)
 
     def add_index(self, kind: str, fields: Sequence[str], unique: bool = False, **more: Any) -> str:
-        m = self.manifest()
-        name = {"text": "_text", "vector": f"_vec_{fields[0]}"}.get(kind, "_".join(fields))
-        if any(i["name"] == name for i in m.indexes):
-            return name
-        entry = {"name": name, "index_type": kind, "fields": list(fields), "unique": unique, **more}
-        new = replace(m, indexes=(*m.indexes, entry))
-        if unique:
-            self._check_unique(new, self.read(m))
-        self._publish(m, new)
-        return name
+        return self.change(lambda d: d.add_index(kind, fields, unique, **more))
 
     def drop_index(self, name: str) -> None:
-        m = self.manifest()
-        if not any(i["name"] == name for i in m.indexes):
-            raise DocquillError(f"no index {name}")
-        self._publish(m, replace(m, indexes=tuple(i for i in m.indexes if i["name"] != name)))
+        self.change(lambda d: d.drop_index(name))
+
+    def compact(self, retain: float = RETAIN) -> dict[str, int]:
+        """One folder for the current rows, without earlier change events.
 
-    def compact(self) -> dict[str, int]:
-        """One folder for the current rows; folders and changes of older versions go."""
+        Versions that were current within the last ``retain`` seconds keep their folders, for readers and
+        streams that still use them; what only older ones name goes.
+        """
         m = self.manifest()
-        size = lambda: self.files.fs().getContentSummary(self.files.path()).getLength()
-        before, df = size(), self.read(m)
-        folder = f"d-{m.version + 1:012d}"
-        df.write.mode("overwrite").parquet(f"{self.files.root}/{folder}")
-        new = self._publish(m, replace(m, folders=(folder,), changes=(), first_token=m.token + 1))
-        for name in self.files.names():
-            if name not in (folder, f"m-{new.version:012d}.json"):
+        before = sum(self.files.size(f) for f in m.folders)
+        self.change(lambda d: d.compact())
+        new = self.manifest()
+        self.collect_garbage(retain)
+        return {"old_size": before, "new_size": sum(self.files.size(f) for f in new.folders), "docs_kept": self.read(new).count()}
+
+    def collect_garbage(self, retain: float = RETAIN) -> None:
+        """Removes versions that were replaced more than ``retain`` seconds ago, and all folders that no other names."""
+        now, times = time.time(), self.files.times()
+        found, current = sorted(n for n in times if n.startswith("m-")), self.manifest().version
+        kept, old, named, unnamed = set(), set(), set(), set()
+        for name, after in zip(found, [*found[1:], None], strict=True):
+            stays = int(name[2:-5]) >= current or after is None or times[after] > now - retain
+            (kept if stays else old).add(name)
+            (named if stays else unnamed).update(self._load(name).named())
+        for name, at in times.items():
+            bare = name.lstrip(".")
+            if name in old or (name not in kept and bare not in named and (bare in unnamed or at < now - retain)):
                 self.files.remove(name)
-        return {"old_size": before, "new_size": size(), "docs_kept": self.read(new).count()}

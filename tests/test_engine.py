@@ -209,3 +209,178 @@ def test_update_to_another_kind(db):
     db.insert_many("k", [{"v": 1}, {"v": 2}])
     assert db.update("k", {"v": 2}, {"$set": {"v": "two"}}) == 1
     assert [d["v"] for d in db.find("k", sort={"_id": 1})] == [1, "two"]
+
+
+# --- commits ---
+
+
+def _draft(db, name, step):
+    from docquill.sources.collections import Draft
+
+    draft = Draft(db.collection(name))
+    step(draft)
+    return draft
+
+
+def test_a_refused_draft_leaves_the_winner_alone(db):
+    db.insert("w", {"x": "start"})
+    late = _draft(db, "w", lambda d: d.insert([{"x": "late"}]))
+    assert db.insert("w", {"x": "winner"}) == 2
+    own = db.collection("w")
+    assert not own.publish(late)
+    late.discard()
+    assert [d["x"] for d in db.find("w", sort={"_id": 1})] == ["start", "winner"]
+    assert [json.loads(r.document)["x"] for r in db.changes("w").collect()] == ["start", "winner"]
+    assert not [n for n in own.files.names() if n.lstrip(".") in late.made]
+
+
+def test_an_overtaken_writer_tries_again(db):
+    db.insert("w", {"x": 0})
+    runs = []
+
+    def step(draft):
+        if not runs:
+            db.insert("w", {"x": 1})
+        runs.append(draft.insert([{"x": 2}]))
+        return runs[-1]
+
+    assert db.collection("w").change(step) == [3] and runs == [[2], [3]]
+    assert [(d["_id"], d["x"]) for d in db.find("w", sort={"_id": 1})] == [(1, 0), (2, 1), (3, 2)]
+    assert [r.token for r in db.changes("w").collect()] == [1, 2, 3]
+
+
+def test_only_one_of_many_creates_a_file(db):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: db.files.create(str(k).encode(), "once"), range(24)))
+    assert won.count(True) == 1 and db.files.read("once").decode() == str(won.index(True))
+    assert not [n for n in db.files.names() if n.startswith(".once")]
+
+
+def test_transactions_of_two_collections_are_seen_whole_or_not_at_all(db, monkeypatch):
+    from docquill.sources import collections
+
+    db.insert("a", {"n": 1})
+    db.insert("b", {"n": 1})
+    tx = db.begin_tx()
+    tx.update("a", {}, {"$inc": {"n": 1}})
+    tx.update("b", {}, {"$inc": {"n": 1}})
+    seen = []
+    record = collections.Files.create
+
+    def create(files, data, *parts):
+        if data == b"committed":  # both manifests are there, the record isn't
+            seen.append((db.find("a")[0]["n"], db.find("b")[0]["n"], db.changes("a").count()))
+        return record(files, data, *parts)
+
+    monkeypatch.setattr(collections.Files, "create", create)
+    tx.commit()
+    assert seen == [(1, 1, 1)]
+    assert (db.find("a")[0]["n"], db.find("b")[0]["n"], db.changes("a").count()) == (2, 2, 2)
+
+    # a transaction whose client is lost before its record is aborted by the next writer
+    monkeypatch.setattr(collections, "PATIENCE", 0.2)
+    lost = [_draft(db, name, lambda d: d.insert([{"n": 9}])) for name in ("a", "b")]
+    assert all(d.own.publish(d, "lost-client") for d in lost)
+    assert db.count("a") == db.count("b") == 1
+    assert db.insert("a", {"n": 7}) == 2 and db.insert("b", {"n": 8}) == 2
+    assert db.collection("a").decision("lost-client") == "aborted"
+    assert [d["n"] for d in db.find("a", sort={"_id": 1})] == [2, 7] and [d["n"] for d in db.find("b", sort={"_id": 1})] == [2, 8]
+
+
+def test_transactions_of_other_rows_both_succeed(db):
+    db.insert_many("acc", [{"n": 1, "b": 0}, {"n": 2, "b": 0}])
+    one, two = db.begin_tx(), db.begin_tx()
+    one.update("acc", {"n": 1}, {"$inc": {"b": 1}})
+    two.update("acc", {"n": 2}, {"$inc": {"b": 1}})
+    one.commit()
+    two.commit()
+    assert [d["b"] for d in db.find("acc", sort={"n": 1})] == [1, 1]
+    # one that read what the other changed is refused, though it writes elsewhere
+    one, two = db.begin_tx(), db.begin_tx()
+    assert one.find("acc", {"n": 1})[0]["b"] == 1
+    one.insert("log", {"saw": 1})
+    two.update("acc", {"n": 1}, {"$inc": {"b": 1}})
+    two.commit()
+    with pytest.raises(TransactionConflict):
+        one.commit()
+    assert db.count("log") == 0
+
+
+def test_streams_see_published_events_only(db, spark, tmp_path):
+    db.insert("s", {"x": 1})
+    late = _draft(db, "s", lambda d: d.insert([{"x": "never"}]))
+    db.insert("s", {"x": 2})
+    assert not late.own.publish(late)
+    q = db.watch("s", 0).writeStream.format("memory").queryName("published").option("checkpointLocation", str(tmp_path / "cp1")).start()
+    every = db.watch(None).writeStream.format("memory").queryName("every").option("checkpointLocation", str(tmp_path / "cp2")).start()
+    db.insert("new_one", {"y": 1})
+    db.update("s", {"x": 2}, {"$set": {"x": 3}})
+    for stream in (q, every):
+        stream.processAllAvailable()
+        stream.stop()
+    assert sorted((r.token, r.operation) for r in spark.table("published").collect()) == [(1, "insert"), (2, "insert"), (3, "update")]
+    assert sorted((r.collection, r.token, r.operation) for r in spark.table("every").collect()) == [("new_one", 1, "insert"), ("s", 3, "update")]
+    # a client lost between commit and move: the next reader shows the events
+    own = db.collection("s")
+    own.files.move(own.manifest().changes[-1], f".{own.manifest().changes[-1]}")
+    assert db.changes("s").count() == 3
+
+
+def test_compaction_keeps_what_readers_use(db):
+    db.insert("k", {"x": 1})
+    db.insert("k", {"x": 2})
+    before = db.table("k")
+    db.compact("k")
+    assert before.count() == 2 and db.count("k") == 2
+    db.compact("k", retain=0)
+    assert db.count("k") == 2 and len([n for n in db.collection("k").files.names() if n.startswith("d-")]) == 1
+
+
+def test_updates_replace_only_folders_with_matches(db):
+    db.insert("f", {"x": 1})
+    db.insert("f", {"x": 2})
+    first, second = db.collection("f").manifest().folders
+    db.update("f", {"x": 2}, {"$inc": {"x": 10}})
+    after = db.collection("f").manifest().folders
+    assert first in after and second not in after and [d["x"] for d in db.find("f", sort={"_id": 1})] == [1, 12]
+    db.delete("f", {"x": 1})
+    assert first not in db.collection("f").manifest().folders and db.count("f") == 1
+
+
+# --- explicit nulls, empty objects, stored postings ---
+
+
+def test_explicit_nulls_and_empty_objects(db):
+    db.insert_many("n", [{"v": None}, {"w": 1}, {"v": 3, "o": {}}, {"o": {"a": None}}])
+    assert [d["_id"] for d in db.find("n", {"v": None})] == [1]
+    assert [d["_id"] for d in db.find("n", {"v": {"$exists": True}}, sort={"_id": 1})] == [1, 3]
+    assert [d["_id"] for d in db.find("n", {"v": {"$exists": False}}, sort={"_id": 1})] == [2, 4]
+    assert db.get("n", 1) == {"_id": 1, "_version": 1, "v": None} and db.get("n", 3)["o"] == {}
+    assert [d["_id"] for d in db.find("n", {"o.a": None})] == [4]
+    assert db.update("n", {"w": 1}, {"$set": {"w": None, "z": None}}) == 1 and db.get("n", 2) == {"_id": 2, "_version": 2, "w": None, "z": None}
+    assert db.update("n", {"v": 3}, {"$inc": {"v": 2}}) == 1 and db.get("n", 3)["v"] == 5
+    with pytest.raises(Exception):
+        db.update("n", {"v": None}, {"$inc": {"v": 2}})
+    db.create_unique_index("n", "v")
+    with pytest.raises(UniqueViolation):
+        db.insert("n", {"v": None})  # a null is a value, a missing field is not
+    assert db.insert("n", {"w": 2}) == 5
+
+
+def test_postings_follow_every_write(db):
+    db.insert_many("t", [{"s": "spark engine spark"}, {"s": "other words"}])
+    db.create_text_index("t", ["s"])
+    db.insert("t", {"s": "spark words"})
+    ids = lambda q: [r["_id"] for r in db.text_search("t", q)]
+    assert ids("spark") == [1, 3] and ids("words") == [2, 3] and ids("the nothing") == []
+    db.update("t", {"_id": 1}, {"$set": {"s": "changed text"}})
+    assert ids("spark") == [3] and ids("changed") == [1]
+    db.delete("t", {"_id": 3})
+    db.compact("t")
+    assert ids("spark") == [] and ids("words") == [2]
+    from docquill.operators.search import text_search
+
+    db.insert_many("t", [{"s": f"words w{k} spark"} for k in range(5)])
+    assert [(r["_id"], round(r["_score"], 9)) for r in db.text_search("t", "spark words w3")] == [(r._id, round(r._score, 9)) for r in text_search(db.table("t"), ["s"], "spark words w3").collect()]
