@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,3 +125,94 @@ def vector_search(df: DataFrame, field: str, vector: Sequence[float], limit: int
     rows = df.where((F.size(found[0]) == len(vector)) & ~F.exists(found[0], lambda x: x.isNull()))
     rows = rows.withColumn("_distance", distance(found[0], vector, metric)).withColumn("_similarity", similarity(F.col("_distance"), metric))
     return rows.orderBy("_distance", *(F.col(k) for k in key if k in df.columns)).limit(limit)
+
+
+# --- cells: an index for exact nearest neighbours without a scan ---------------------------------
+
+SAMPLE_ROWS, CELL_ROWS, MOST_CELLS, ROUNDS = 20_000, 1_000, 1_024, 8
+
+
+def _vectors(df: DataFrame, field: str, dimension: int) -> DataFrame:
+    """(_id, vec) of the rows with a whole vector of that length."""
+    found = values.field(df, field)
+    if found is None or not isinstance(found[1], T.ArrayType):
+        return df.sparkSession.createDataFrame([], "_id bigint, vec array<double>")
+    column, _ = found
+    return df.where((F.size(column) == dimension) & ~F.exists(column, lambda x: x.isNull())).select("_id", column.cast("array<double>").alias("vec"))
+
+
+def _placed(x: np.ndarray, metric: str) -> np.ndarray:
+    """Where vectors stand: for cosine on the unit sphere, a zero vector in its centre."""
+    if metric != "cosine":
+        return x
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def train_cells(df: DataFrame, field: str, dimension: int, metric: str, seed: int = 5) -> list[list[float]]:
+    """Centres of k-means on at most SAMPLE_ROWS vectors, those of smallest hash; one for each CELL_ROWS rows or so."""
+    rows = _vectors(df, field, dimension)
+    n = rows.count()
+    if n == 0:
+        return []
+    sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS).toPandas()
+    x, rng = _placed(np.array(sample["vec"].tolist(), np.float64), metric), np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), min(len(x), MOST_CELLS, -(-n // CELL_ROWS)), replace=False)]
+    for _ in range(ROUNDS):
+        home = _squares(x, centres).argmin(1)
+        sums, size = np.zeros_like(centres), np.bincount(home, minlength=len(centres))[:, None]
+        np.add.at(sums, home, x)
+        centres = np.where(size > 0, sums / np.maximum(size, 1), centres)
+    return centres.tolist()
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum(0, (x * x).sum(1)[:, None] + (centres * centres).sum(1)[None] - 2 * x @ centres.T)
+
+
+def cell_index(df: DataFrame, field: str, dimension: int, metric: str, centres: list[list[float]]) -> DataFrame:
+    """(cell, away, _id, vec): each vector by its nearest centre, and how far it is from it."""
+    middle = np.array(centres, np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x = _placed(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1), metric)
+                home = _squares(x, middle).argmin(1)
+                away = np.linalg.norm(x - middle[home], axis=1)
+                yield pa.record_batch([pa.array(home.astype(np.int32)), pa.array(away), batch.column(0), batch.column(1)], names=["cell", "away", "_id", "vec"])
+
+    return _vectors(df, field, dimension).mapInArrow(run, "cell int, away double, _id bigint, vec array<double>")
+
+
+def _least(q: np.ndarray, centres: np.ndarray, radius: np.ndarray, metric: str) -> np.ndarray:
+    """The least distance that a vector of each cell can have, by the triangle inequality (dot product: by Cauchy's)."""
+    if metric == "dot_product":
+        return -(centres @ q) - np.linalg.norm(q) * radius
+    gap = np.maximum(0, np.linalg.norm(centres - _placed(q[None], metric), axis=1) - radius)
+    return gap**2 / 2 if metric == "cosine" else gap
+
+
+def search_cells(index: DataFrame, centres: list[list[float]], radius: dict[int, float], vector: Sequence[float], limit: int, metric: str, ef_search: int | None = None) -> list[tuple[int, float]]:
+    """The nearest (_id, distance) of a cell index, exactly: after the most promising cells only those are read that could hold a nearer vector.
+
+    With ef_search the most promising cells alone are read, as many of them; then a nearer vector may be missed.
+    """
+    q, cells = np.array(vector, np.float64), np.array(sorted(radius))
+    if not len(cells) or not limit:
+        return []
+    if metric == "cosine" and not q.any():
+        least = np.full(len(cells), -1.0)  # everything is at distance 1
+    else:
+        least = _least(q, np.array(centres)[cells], np.array([radius[c] for c in cells]), metric) - 1e-9
+    order, best = np.argsort(least, kind="stable"), []
+    first = min(len(cells), ef_search or max(1, round(len(cells) ** 0.5)))
+    for chosen in (order[:first], order[first:]):
+        if len(best) >= limit:
+            chosen = chosen[least[chosen] <= best[-1][1]]
+        if len(chosen):
+            rows = index.where(F.col("cell").isin([int(c) for c in cells[chosen]])).select("_id", distance(F.col("vec"), vector, metric).alias("d"))
+            best = sorted([*best, *((r._id, r.d) for r in rows.orderBy("d", "_id").limit(limit).collect())], key=lambda x: (x[1], x[0]))[:limit]
+        if ef_search:
+            break
+    return best

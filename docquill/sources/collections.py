@@ -31,11 +31,12 @@ from pyspark.sql import types as T
 from docquill.errors import DocquillError, TransactionConflict, UniqueViolation
 from docquill.functions import values
 from docquill.operators.filters import compile_filter
-from docquill.operators.search import text_index
+from docquill.operators.search import cell_index, text_index, train_cells
 from docquill.operators.updates import apply_update, touched_by
 
 CHANGES = "token bigint, operation string, collection string, doc_id bigint, document string, tx_id string"
 POSTINGS = "term string, _id bigint, tf bigint, doc_len int"
+CELLS = "cell int, away double, _id bigint, vec array<double>"
 RETRIES, PATIENCE, RETAIN = 10, 10.0, 86_400.0
 
 
@@ -138,7 +139,8 @@ class Files:
 
 @dataclass(frozen=True)
 class Manifest:
-    """postings: for each data folder, with a text index, its folder of postings and its number of rows with a token."""
+    """postings: for each data folder, with a text index, its folder of postings and its number of rows with a token.
+    vectors: for each vector index and data folder, its folder of cells and the radius of each cell."""
 
     version: int = 0
     schema: str = ""
@@ -149,10 +151,11 @@ class Manifest:
     changes: tuple[str, ...] = ()
     indexes: tuple[dict[str, Any], ...] = ()
     postings: dict[str, list[Any]] = field(default_factory=dict)
+    vectors: dict[str, dict[str, list[Any]]] = field(default_factory=dict)
     tx: str | None = None
 
     def named(self) -> set[str]:
-        return {*self.folders, *self.changes, *(p for p, _ in self.postings.values())}
+        return {*self.folders, *self.changes, *(p for p, _ in self.postings.values()), *(v for own in self.vectors.values() for v, _ in own.values())}
 
 
 def _type_of(value: Any) -> T.DataType | None:
@@ -262,6 +265,9 @@ class Draft:
         folder = self._new("d")
         rows.write.mode("overwrite").parquet(self._path(folder))
         self._index(folder, rows.schema)
+        for index in self.m.indexes:
+            if index["index_type"] == "vector":
+                self._place(folder, rows.schema, index)
         return folder
 
     def _index(self, folder: str, schema: T.StructType) -> None:
@@ -276,8 +282,31 @@ class Draft:
         n = self.spark.read.schema(POSTINGS).parquet(self._path(name)).agg(F.count_distinct("_id")).first()[0]
         self.m = replace(self.m, postings={**self.m.postings, folder: [name, n]})
 
+    def _place(self, folder: str, schema: T.StructType, index: dict[str, Any]) -> None:
+        """The cells of a vector index for a data folder, in their order, so that a search reads few row groups."""
+        if not index.get("centres"):
+            return
+        rows = self.spark.read.schema(schema).parquet(self._path(folder))
+        name = self._new("v")
+        found = cell_index(rows, index["fields"][0], index["dimension"], index["metric"], index["centres"])
+        found.repartitionByRange("cell", "_id").sortWithinPartitions("cell").write.mode("overwrite").parquet(self._path(name))
+        radius = self.spark.read.schema(CELLS).parquet(self._path(name)).groupBy("cell").agg(F.max("away").alias("r")).collect()  # a row per cell
+        own = {**self.m.vectors.get(index["name"], {}), folder: [name, {str(r.cell): r.r for r in radius}]}
+        self.m = replace(self.m, vectors={**self.m.vectors, index["name"]: own})
+
+    def _train(self) -> None:
+        """Fits the centres of vector indexes to the rows there are, and places all rows anew."""
+        for k, index in enumerate(self.m.indexes):
+            if index["index_type"] == "vector":
+                fresh = {**index, "centres": train_cells(self.read(), index["fields"][0], index["dimension"], index["metric"])}
+                vectors = {n: v for n, v in self.m.vectors.items() if n != index["name"]}
+                self.m = replace(self.m, indexes=(*self.m.indexes[:k], fresh, *self.m.indexes[k + 1 :]), vectors=vectors)
+                for folder in self.m.folders:
+                    self._place(folder, self.own.schema(self.m), fresh)
+
     def _forget(self, folders: Sequence[str]) -> None:
-        self.m = replace(self.m, folders=tuple(f for f in self.m.folders if f not in folders), postings={k: v for k, v in self.m.postings.items() if k not in folders})
+        left = lambda d: {k: v for k, v in d.items() if k not in folders}
+        self.m = replace(self.m, folders=tuple(f for f in self.m.folders if f not in folders), postings=left(self.m.postings), vectors={n: left(d) for n, d in self.m.vectors.items()})
 
     def _events(self, operation: str, rows: DataFrame, ready: bool = False) -> int:
         """Writes the change events of rows (doc_id, document, with ready also token); returns their number."""
@@ -431,12 +460,14 @@ class Draft:
         if kind == "text":
             for folder in self.m.folders:
                 self._index(folder, self.own.schema(self.m))
+        if kind == "vector":
+            self._train()
         return name
 
     def drop_index(self, name: str) -> None:
         if not any(i["name"] == name for i in self.m.indexes):
             raise DocquillError(f"no index {name}")
-        self.m = replace(self.m, indexes=tuple(i for i in self.m.indexes if i["name"] != name), postings={} if name == "_text" else self.m.postings)
+        self.m = replace(self.m, indexes=tuple(i for i in self.m.indexes if i["name"] != name), postings={} if name == "_text" else self.m.postings, vectors={k: v for k, v in self.m.vectors.items() if k != name})
 
     def compact(self) -> None:
         df, old = self.read(), self.m.folders
@@ -444,6 +475,7 @@ class Draft:
             folder = self._write(df)
             self._forget(old)
             self.m = replace(self.m, folders=(folder,))
+            self._train()
         self.m = replace(self.m, changes=(), first_token=self.m.token + 1)
 
 
@@ -539,6 +571,17 @@ class Collection:
             return self.spark.createDataFrame([], POSTINGS), 0
         return self.spark.read.schema(POSTINGS).parquet(*(f"{self.files.root}/{p}" for p, _ in m.postings.values())), sum(n for _, n in m.postings.values())
 
+    def cells(self, index: dict[str, Any], m: Manifest) -> tuple[DataFrame, dict[int, float]] | None:
+        """(cell, away, _id, vec) of a vector index and the radius of each cell; None where some rows are in no cell."""
+        own = m.vectors.get(index["name"], {})
+        if not m.folders or any(f not in own for f in m.folders):
+            return None
+        radius: dict[int, float] = {}
+        for _, each in own.values():
+            for cell, r in each.items():
+                radius[int(cell)] = max(r, radius.get(int(cell), 0.0))
+        return self.spark.read.schema(CELLS).parquet(*(f"{self.files.root}/{v}" for v, _ in own.values())), radius
+
     def _rows(self, docs: Sequence[dict[str, Any]], schema: T.StructType) -> DataFrame:
         text = [(json.dumps(d),) for d in docs]
         return self.spark.createDataFrame(text, "j string").select(F.from_json("j", schema).alias("d")).select("d.*")

@@ -384,3 +384,36 @@ def test_postings_follow_every_write(db):
 
     db.insert_many("t", [{"s": f"words w{k} spark"} for k in range(5)])
     assert [(r["_id"], round(r["_score"], 9)) for r in db.text_search("t", "spark words w3")] == [(r._id, round(r._score, 9)) for r in text_search(db.table("t"), ["s"], "spark words w3").collect()]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot_product"])
+def test_vector_cells_are_exact(db, spark, monkeypatch, metric):
+    """The index finds what a scan finds, through every kind of write; it reads a part of the cells."""
+    import random
+
+    from docquill.operators import search
+
+    monkeypatch.setattr(search, "CELL_ROWS", 12)
+    rng = random.Random(7)
+    spots = [[rng.uniform(-3, 3) for _ in range(4)] for _ in range(10)]
+    point = lambda k: [x + rng.gauss(0, 0.2) for x in spots[k % 10]]
+    db.insert_many("v", [{"e": point(k)} for k in range(200)] + [{"e": [1.0]}, {"x": 1}, {"e": [0.0] * 4}])
+    db.create_vector_index("v", "e", 4, metric)
+    db.insert_many("v", [{"e": point(k)} for k in range(20)])
+    db.update("v", {"_id": 5}, {"$set": {"e": [9.0, 9.0, 9.0, 9.0]}})
+    db.delete("v", {"_id": {"$in": [7, 8]}})
+    read = []
+    where = search.distance
+    monkeypatch.setattr(search, "distance", lambda *a: read.append(1) or where(*a))
+    for q in [*spots[:3], [9.0, 9.0, 9.0, 8.0], [0.0] * 4]:
+        got = [(r["_id"], round(r["_distance"], 9), round(r["_similarity"], 9)) for r in db.vector_search("v", "e", q, 7)]
+        want = [(r._id, round(r._distance, 9), round(r._similarity, 9)) for r in search.vector_search(db.table("v"), "e", q, 7, metric).collect()]
+        assert [g[1:] for g in got] == [w[1:] for w in want] and (metric == "cosine" and not any(q) or got == want)
+    assert {r["_id"] for r in db.vector_search("v", "e", spots[0], 5, ef_search=1)} <= {r["_id"] for r in db.find("v")}
+    with pytest.raises(InvalidQuery):
+        db.vector_search("v", "e", [1.0], 1)
+    db.create_vector_index("empty", "e", 2)
+    db.insert_many("empty", [{"e": [1.0, 0.0]}, {"e": [0.0, 1.0]}])
+    assert db.vector_search("empty", "e", [0.1, 1.0], 1)[0]["_id"] == 2
+    db.compact("empty")
+    assert db.collection("empty").manifest().vectors["_vec_e"] and db.vector_search("empty", "e", [0.1, 1.0], 1)[0]["_id"] == 2
