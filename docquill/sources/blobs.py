@@ -134,12 +134,11 @@ class BlobStore:
         def text(content: pd.Series, kind: pd.Series) -> pd.Series:
             return pd.Series([extract_text(bytes(c), k) for c, k in zip(content, kind, strict=True)])
 
-        @F.pandas_udf("string")
-        def as_file(key: pd.Series) -> pd.Series:
-            return key.map(BlobStore._file)
-
+        as_file = F.url_encode("key")  # as _file names it
+        for was, then in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("_", "%5F")):
+            as_file = F.replace(as_file, F.lit(was), F.lit(then))
         # a path may show a file's name encoded once more
-        names = names.withColumn("file", as_file("key"))
+        names = names.withColumn("file", as_file)
         plain = data.select("bucket", F.when(F.contains("file", F.lit("%25")), F.url_decode("file")).otherwise(F.col("file")).alias("file"), "content")
         both = plain.join(names, ["bucket", "file"])
         return both.select("bucket", "key", text("content", "content_type").alias("text")).where("text is not null")

@@ -137,6 +137,10 @@ def test_blobs(db):
     assert len(meta["etag"]) == 8 and db.get_object("b", "dir/one file.html")[0].startswith(b"<p>")
     assert [o["key"] for o in db.list_objects("b")] == ["dir/one file.html", "raw", "two.json"] and len(db.list_objects("b", prefix="t")) == 1
     assert [r["key"] for r in db.search("spark")] == ["two.json", "dir/one file.html"]
+    odd = "a+b*c~d_e-f.g%20/é (1)!'"
+    db.put_object("b", odd, b"peculiar", "text/plain")
+    assert [r["key"] for r in db.search("peculiar")] == [odd] and db.get_object("b", odd)[0] == b"peculiar"
+    db.delete_object("b", odd)
     db.create_bucket("empty")
     assert db.search("spark", bucket="empty") == []
     db.delete_object("b", "raw")
