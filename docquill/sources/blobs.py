@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquill.errors import DocquillError
+from docquill.functions.pdf import pdf_text
 from docquill.operators.search import text_search
 from docquill.sources.collections import Files
 
@@ -46,7 +47,7 @@ def _office(data: bytes, kind: str) -> str | None:
 
 
 def extract_text(data: bytes, content_type: str) -> str | None:
-    """The text of an object, None where its type has none that can be read. PDF and images aren't supported."""
+    """The text of an object, None where its type has none that can be read. Images aren't supported."""
     kind = content_type.lower()
     try:
         if kind.startswith("text/html") or kind in ("text/xml", "application/xml"):
@@ -55,6 +56,8 @@ def extract_text(data: bytes, content_type: str) -> str | None:
             return data.decode("utf-8")
         if kind == "application/json":
             return " ".join(_strings(json.loads(data))) or None
+        if kind == "application/pdf":
+            return pdf_text(data)
         if kind in (DOCX, XLSX):
             return _office(data, kind)
     except (UnicodeDecodeError, ValueError, zipfile.BadZipFile, ElementTree.ParseError):
@@ -127,7 +130,7 @@ class BlobStore:
             return self.spark.createDataFrame([], "bucket string, key string, text string")
         data = self.spark.read.format("binaryFile").load([f"{self.files.root}/{b}/data" for b in buckets])
         part = F.split("path", "/")
-        data = data.select(F.element_at(part, -3).alias("bucket"), F.url_decode(F.regexp_replace(F.url_decode(F.element_at(part, -1)), r"\.bin$", "")).alias("a"), F.regexp_replace(F.element_at(part, -1), r"\.bin$", "").alias("file"), "content")
+        data = data.select(F.element_at(part, -3).alias("bucket"), F.regexp_replace(F.element_at(part, -1), r"\.bin$", "").alias("file"), "content")
         names = meta.select("bucket", "key", "content_type")
 
         @F.pandas_udf("string")
@@ -137,10 +140,8 @@ class BlobStore:
         as_file = F.url_encode("key")  # as _file names it
         for was, then in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("_", "%5F")):
             as_file = F.replace(as_file, F.lit(was), F.lit(then))
-        # a path may show a file's name encoded once more
         names = names.withColumn("file", as_file)
-        plain = data.select("bucket", F.when(F.contains("file", F.lit("%25")), F.url_decode("file")).otherwise(F.col("file")).alias("file"), "content")
-        both = plain.join(names, ["bucket", "file"])
+        both = data.join(names, ["bucket", "file"])
         return both.select("bucket", "key", text("content", "content_type").alias("text")).where("text is not null")
 
     def search(self, query: str, bucket: str | None = None, limit: int = 10) -> DataFrame:

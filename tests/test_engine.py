@@ -150,7 +150,7 @@ def test_blobs(db):
     with zipfile.ZipFile(buf, "w") as z:
         z.writestr("word/document.xml", '<w:document xmlns:w="u"><w:t>Some</w:t><w:t>words</w:t></w:document>')
     assert extract_text(buf.getvalue(), DOCX) == "Some words"
-    assert extract_text(b"%PDF", "application/pdf") is None and extract_text(b"\xff", "text/plain") is None
+    assert extract_text(b"%PDF", "application/pdf") is None and extract_text(b"", "image/png") is None and extract_text(b"\xff", "text/plain") is None
 
 
 def test_procedures(db):
@@ -421,3 +421,26 @@ def test_vector_cells_are_exact(db, spark, monkeypatch, metric):
     assert db.vector_search("empty", "e", [0.1, 1.0], 1)[0]["_id"] == 2
     db.compact("empty")
     assert db.collection("empty").manifest().vectors["_vec_e"] and db.vector_search("empty", "e", [0.1, 1.0], 1)[0]["_id"] == 2
+
+
+def _pdf(*streams, extra=b""):
+    parts = [b"%PDF-1.4\n1 0 obj<</Type/Catalog>>endobj\n", extra]
+    for k, (head, body) in enumerate(streams, 2):
+        parts.append(b"%d 0 obj<<%s/Length %d>>\nstream\n%s\nendstream\nendobj\n" % (k, head, len(body), body))
+    return b"".join([*parts, b"%%EOF"])
+
+
+def test_pdf_text(db):
+    import zlib
+
+    plain = rb"BT /F1 12 Tf 72 700 Td (Quarterly \(draft\) r\351sum\351) Tj T* [(sp) -20 (ark) -300 (engine)] TJ ET q 1 0 0 1 0 0 cm Q BT <48 69> Tj ET"
+    deflated = zlib.compress(b"BT 0 -14 Td (second page) ' ET")
+    mapped = b"1 beginbfchar <0001> <03A9> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange"
+    data = _pdf((b"", plain), (b"/Filter/FlateDecode ", deflated), (b"/Type/X/R<</A<</B 1>>>>", mapped), (b"", b"BT <0001000200030004> Tj ET"), (b"/Filter/DCTDecode ", b"BT (image) Tj ET"))
+    assert extract_text(data, "application/pdf") == "Quarterly (draft) résumé spark engine Hi second page Ωabc"
+    for bad in (b"", b"%PDF-1.4", b"not a pdf", data.replace(b"Catalog", b"Catalog/Encrypt 9 0 R"), data[: len(data) // 2], _pdf((b"/Filter/FlateDecode ", b"broken"))):
+        text = extract_text(bad, "application/pdf")
+        assert text is None or "Quarterly" in text
+    db.put_object("docs", "a.pdf", data, "application/pdf")
+    db.put_object("docs", "b.txt", b"another engine", "text/plain")
+    assert {r["key"] for r in db.search("engine")} == {"a.pdf", "b.txt"} and [r["key"] for r in db.search("draft")] == ["a.pdf"]
