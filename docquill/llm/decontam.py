@@ -6,12 +6,14 @@ built over all other runs, each closed by a separator, so it loses no occurrence
 backward search through the ranks of a wavelet matrix; occurrences are located by walking to sampled suffix
 positions; overlapping occurrences merge into removal spans.
 
-The benchmark is never collected: it lies in block files of bounded size in the shared folder, and each
-task reads one block after another.
+The benchmark is never collected: blocks of bounded size lie in the shared folder as windows ready for the
+search, and each task reads one block after another; a worker keeps as many as fit into ``CACHE_BYTES``.
 """
 
 from __future__ import annotations
 
+import itertools
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -21,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquill.llm.common import filesystem, put, saved, shared_dir, worker_state
+from docquill.llm.common import Store, bounded_batches, result, saved, shared_dir, store, trimmed, worker_cache
 
-WINDOW, SAMPLE, BLOCK_BYTES, SHARD_BYTES = 10, 8, 16 << 20, 24 << 20
+WINDOW, SAMPLE, BLOCK_BYTES, SHARD_BYTES, CACHE_BYTES = 10, 8, 2 << 20, 6 << 20, 48 << 20
 
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -52,10 +54,20 @@ class Windows:
         flat = list(seen)
         for size in np.unique(self.size):
             own = np.flatnonzero(self.size == size)
-            self.by_size[int(size)] = own, np.array([flat[k] for k in own], np.int64)
+            self.by_size[int(size)] = own, np.array([flat[k] for k in own], np.int32)
         self.owner = np.array(sorted(set(owner)), np.int64).reshape(-1, 2)
         self.shortest = int(self.size.min()) if len(self.size) else 0
 
+    def pack(self) -> bytes:
+        return pickle.dumps(({**self.__dict__, "vocab": b" ".join(self.vocab)}), protocol=5)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Windows:
+        out = cls.__new__(cls)
+        out.__dict__.update(pickle.loads(data))
+        out.vocab = {w: k for k, w in enumerate(out.vocab.split(), 1)}
+        return out
+
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
     """Order of the suffixes of seq; each 0 closes its suffix, and zeros rank by position."""
@@ -112,13 +124,15 @@ class FMIndex:
         return out
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges of the suffixes that start with each row of patterns."""
-        low = np.zeros(len(patterns), np.int64)
-        high = np.full(len(patterns), len(self.kept), np.int64)
+        """Row ranges of the suffixes that start with each row of patterns; patterns leave the search with their last suffix."""
+        low, high = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64)
+        left, a, b = np.arange(len(patterns)), np.zeros(len(patterns), np.int64), np.full(len(patterns), len(self.kept), np.int64)
         for k in reversed(range(patterns.shape[1])):
-            c = patterns[:, k]
-            low, high = self.first[c] + self.rank(c, low), self.first[c] + self.rank(c, high)
-            high = np.maximum(low, high)
+            c = patterns[left, k].astype(np.int64)
+            a, b = self.first[c] + self.rank(c, a), self.first[c] + self.rank(c, b)
+            on = b > a
+            left, a, b = left[on], a[on], b[on]
+        low[left], high[left] = a, b
         return low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -133,16 +147,18 @@ class FMIndex:
         return out
 
 
-def occurrences(words: list[list[bytes]], windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(texts: list[bytes], windows: Windows) -> tuple[np.ndarray, np.ndarray]:
     """(position in the documents' words one after another, window) of each occurrence."""
     none = np.empty(0, np.int64), np.empty(0, np.int64)
     if not windows.shortest:
         return none
-    get, parts = windows.vocab.get, []
-    for own in words:
-        parts.append(np.fromiter((get(w, 0) for w in own), np.int32, len(own)))
+    get, parts, nothing = windows.vocab.get, [], itertools.repeat(0)
+    for t in texts:  # a text's words don't outlive it, only their numbers do
+        own = words_of(t)
+        parts.append(np.fromiter(map(get, own, nothing), np.int32, len(own)))
         parts.append(np.zeros(1, np.int32))
     ids = np.concatenate(parts)  # one separator after each document
+    closes = np.cumsum([len(own) for own in parts]).reshape(-1, 2)[:, 1] if parts else np.empty(0, np.int64)
     inside = np.diff((ids > 0).astype(np.int8), prepend=0, append=0)
     start, stop = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
     long = stop - start >= windows.shortest
@@ -164,7 +180,6 @@ def occurrences(words: list[list[bytes]], windows: Windows) -> tuple[np.ndarray,
         found.append(np.repeat(which, many))
     at = np.concatenate(positions)
     # back to positions without the documents' separators
-    closes = np.cumsum([len(own) + 1 for own in words])
     return at - np.searchsorted(closes, at, "right"), np.concatenate(found)
 
 
@@ -188,27 +203,30 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def _blocks(folder: str, parts: list[int], window: int) -> Iterator[Windows]:
-    state, (store, path) = worker_state(), filesystem(folder)
+def _blocks(where: Store, parts: list[int]) -> Iterator[Windows]:
+    cache = worker_cache("decontam")
     for k in parts:
-        if state.get("windows_of") != (folder, k, window):
-            with store.open_input_file(f"{path}/block-{k:05d}") as f:
-                table = pa.ipc.open_stream(f.read()).read_all()
-            items = list(zip(table["item"].to_pylist(), table["text"].cast(pa.binary()).to_pylist(), strict=True))
-            state["windows"], state["windows_of"] = Windows([(i, t or b"") for i, t in items], window), (folder, k, window)
-        yield state["windows"]
-
-
-def _scanner(folder: str, blocks: list[int], window: int, cut: bool):
+        found = cache.get((where.uri, k))
+        if found is None:
+            data = where.get(f"block-{k:05d}")
+            found = Windows.unpack(data), len(data)
+            while cache and sum(n for _, n in cache.values()) + len(data) > CACHE_BYTES:
+                cache.pop(next(iter(cache)))
+            if len(data) <= CACHE_BYTES:
+                cache[where.uri, k] = found
+        yield found[0]
+
+
+def _scanner(where: Store, blocks: list[int], cut: bool):
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
-    def shard(ids: pa.Array, texts: list[bytes | None]) -> pa.RecordBatch:
-        words = [words_of(t or b"") for t in texts]
-        size = np.fromiter(map(len, words), np.int64, len(words))
+    def shard(ids: pa.Array, raw: list[bytes | None]) -> pa.RecordBatch:
+        texts = [t or b"" for t in raw]
+        size = np.fromiter((len(words_of(t)) for t in texts), np.int64, len(texts))
         ends = np.cumsum(size)
         starts, stops, items = [], [], [set() for _ in texts]
-        for w in _blocks(folder, blocks, window):
-            at, which = occurrences(words, w)
+        for w in _blocks(where, blocks):
+            at, which = occurrences(texts, w)
             starts.append(at)
             stops.append(at + w.size[which])
             pair = np.unique(np.stack([np.searchsorted(ends, at, "right"), which], 1), axis=0)
@@ -232,39 +250,47 @@ def _scanner(folder: str, blocks: list[int], window: int, cut: bool):
         columns = [ids, pa.array(size), pa.array(hit), pa.array([sorted(i) for i in items], pa.list_(pa.string())), pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], span)]
         names = ["id", "n_words", "n_hit", "items", "spans"]
         if cut:
-            clean = [t if not s else _cut(t, s) for t, s in zip(texts, spans, strict=True)]
+            clean = [t if not s else _cut(t, s) for t, s in zip(raw, spans, strict=True)]
             columns.append(pa.array(clean, pa.binary()).cast(pa.string()))
             names.append("clean_text")
         return pa.record_batch(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, own, total, low = batch.column(1).cast(pa.binary()), [], 0, 0
-            for k, x in enumerate(column):
+        ids, own, total = [], [], 0
+        for batch in batches:  # a shard takes texts of as many batches as it needs
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                ids.append(i)
                 own.append(x.as_py())
                 total += len(own[-1] or b"")
-                if total >= SHARD_BYTES or k + 1 == len(column):
-                    yield shard(batch.column(0).slice(low, len(own)), own)
-                    own, total, low = [], 0, k + 1
+                if total >= SHARD_BYTES:
+                    yield shard(pa.array(ids, pa.int64()), own)
+                    ids, own, total = [], [], 0
+        if own:
+            yield shard(pa.array(ids, pa.int64()), own)
 
-    return run
+    return trimmed(run)
 
 
-def _write_blocks(folder: str):
+def _write_blocks(where: Store, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, texts = [], []
+        worker_cache("decontam")
+        items, size, n, part = [], 0, 0, TaskContext.get().partitionId()
+
+        def write() -> pa.RecordBatch:
+            where.put(f"block-{part * 1000 + n:05d}", Windows(items, window).pack())
+            return pa.record_batch([pa.array([part * 1000 + n], pa.int32())], names=["part"])
+
         for batch in batches:
-            items += batch.column(0).to_pylist()
-            texts += batch.column(1).to_pylist()
-        sink, table = pa.BufferOutputStream(), pa.table({"item": pa.array(items, pa.string()), "text": pa.array(texts, pa.string())})
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        store, path = filesystem(folder)
-        part = TaskContext.get().partitionId()
-        put(store, f"{path}/block-{part:05d}", sink.getvalue().to_pybytes())
-        yield pa.record_batch([pa.array([part], pa.int32())], names=["part"])
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                items.append((i, t.as_py() or b""))
+                size += len(items[-1][1])
+                if size >= BLOCK_BYTES:
+                    yield write()
+                    items, size, n = [], 0, n + 1
+        if items:
+            yield write()
 
-    return run
+    return trimmed(run)
 
 
 def decontaminate(
@@ -281,14 +307,15 @@ def decontaminate(
     empty table on either side gives no hits.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = shared_dir(spark)
-    store, path = filesystem(folder)
-    store.create_dir(path, recursive=True)
+    where = store(spark, folder)
+    where.make()
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    written = items.repartition(-(-size // BLOCK_BYTES) or 1, "item", "text").mapInArrow(_write_blocks(folder), "part int")
-    blocks = sorted(r.part for r in saved(written, f"{folder}/written").collect())
+    written = items.repartition(-(-size // BLOCK_BYTES) or 1, "item", "text").mapInArrow(_write_blocks(where, window), "part int")
+    blocks = sorted(r.part for r in saved(written, f"{folder}/written").collect())  # a number for each block
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     schema = "id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, stop: bigint>>"
-    found = rows.mapInArrow(_scanner(folder, blocks, window, cut), schema + ", clean_text string" * cut)
-    return found.withColumnRenamed("id", id_col)
+    found = rows.mapInArrow(_scanner(where, blocks, cut), schema + ", clean_text string" * cut)
+    return result(found.withColumnRenamed("id", id_col), folder)

@@ -2,7 +2,7 @@
 
 A block holds up to ``BLOCK`` symbols and starts at a byte of its own, so blocks decode independently.
 Every ``STEP`` symbols a block notes the bit offset reached. Decoding runs all checkpoints of a file
-side by side: each step looks the next ``LIMIT`` bits of every lane up in one table.
+side by side: each step looks the next bits of every lane, as many as the longest code has, up in one table.
 """
 
 from __future__ import annotations
@@ -12,10 +12,20 @@ import numpy as np
 LIMIT, BLOCK, STEP = 16, 1 << 16, 256
 
 
-def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Optimal code lengths of at most ``limit`` bits, by package-merge; 0 for symbols that never occur."""
+def width_of(lengths: np.ndarray) -> int:
+    """Bits that one look-up takes: LIMIT, or the longest code where a large alphabet needs more."""
+    return max(LIMIT, int(lengths.max(initial=0)))
+
+
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Optimal code lengths of at most ``limit`` bits, by package-merge; 0 for symbols that never occur.
+
+    The limit is LIMIT by default, and for more than a quarter of 2 ** LIMIT symbols two bits more than they take.
+    """
     lengths = np.zeros(len(counts), np.uint8)
     used = np.flatnonzero(counts)
+    if limit is None:
+        limit = max(LIMIT, (max(len(used), 1) - 1).bit_length() + 2 if len(used) > 1 << LIMIT - 2 else LIMIT)
     if len(used) > 1 << limit:
         raise ValueError(f"{len(used)} symbols don't fit into codes of {limit} bits")
     if len(used) < 2:
@@ -46,9 +56,9 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     used = np.flatnonzero(lengths)
     order = used[np.lexsort((used, lengths[used]))]
     if len(order):
-        long = lengths[order].astype(np.int64)
-        width = np.int64(1) << (LIMIT - long)
-        codes[order] = ((np.cumsum(width) - width) >> (LIMIT - long)).astype(np.uint32)
+        long, most = lengths[order].astype(np.int64), width_of(lengths)
+        width = np.int64(1) << (most - long)
+        codes[order] = ((np.cumsum(width) - width) >> (most - long)).astype(np.uint32)
     return codes
 
 
@@ -79,10 +89,10 @@ def decode(payload: bytes, total: int, starts: np.ndarray, marks: np.ndarray, le
     out = np.empty(total, np.uint32)
     if not total:
         return out
-    codes, used = canonical_codes(lengths), np.flatnonzero(lengths)
-    symbol, size = np.zeros(1 << LIMIT, np.uint32), np.ones(1 << LIMIT, np.int64)
-    order = used[np.argsort(codes[used].astype(np.int64) << (LIMIT - lengths[used].astype(np.int64)))]
-    spread = np.int64(1) << (LIMIT - lengths[order].astype(np.int64))
+    codes, used, width = canonical_codes(lengths), np.flatnonzero(lengths), width_of(lengths)
+    symbol, size = np.zeros(1 << width, np.uint32), np.ones(1 << width, np.uint8)
+    order = used[np.argsort(codes[used].astype(np.int64) << (width - lengths[used].astype(np.int64)))]
+    spread = np.int64(1) << (width - lengths[order].astype(np.int64))
     symbol[: spread.sum()] = np.repeat(order, spread)
     size[: spread.sum()] = np.repeat(lengths[order], spread)
     words = np.frombuffer(payload, ">u4").astype(np.uint64)
@@ -95,7 +105,7 @@ def decode(payload: bytes, total: int, starts: np.ndarray, marks: np.ndarray, le
             first, position = first[:-1], position[:-1]
         if not len(first):
             break
-        bits = (pair[position >> 5] >> (64 - LIMIT - (position & 31)).astype(np.uint64)) & np.uint64((1 << LIMIT) - 1)
+        bits = (pair[position >> 5] >> (64 - width - (position & 31)).astype(np.uint64)) & np.uint64((1 << width) - 1)
         bits = bits.astype(np.int64)
         out[first + k] = symbol[bits]
         position = position + size[bits]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquill.llm.common import remove, saved, shared_dir
+from docquill.llm.common import bounded_batches, result, saved, shared_dir, trimmed, worker_cache
 
 BUCKETS, WEIGHT, SMOOTH, PER_LANGUAGE, MIN_ROWS, MIN_SCORE = 1 << 16, 40.0, 20.0, 4_000, 5, 0.5
 BROADCAST_BYTES = 8 << 20
@@ -49,7 +49,7 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return bucket, before[starts + sizes] - before[starts]
 
 
-def _texts(column: pa.Array, most: int = 4 << 20) -> Iterator[list[bytes]]:
+def _texts(column: pa.Array, most: int = 1 << 20) -> Iterator[list[bytes]]:
     own, size = [], 0
     for x in column.cast(pa.binary()):
         own.append(x.as_py() or b"")
@@ -62,6 +62,7 @@ def _texts(column: pa.Array, most: int = 4 << 20) -> Iterator[list[bytes]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("langid")  # frees what other operators left
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -86,6 +87,7 @@ def unknown_table(counts: np.ndarray) -> np.ndarray:
 
 def _scorer(tables: np.ndarray, unknown: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("langid")
         for batch in batches:
             means, sizes, fits = [], [], []
             for texts in _texts(batch.column(batch.num_columns - 1)):
@@ -105,7 +107,7 @@ def _scorer(tables: np.ndarray, unknown: np.ndarray):
                 [*batch.columns[:-1], pa.array(n), pa.array(fit), pa.array(means, pa.list_(pa.float64()))], names=["id", "declared", "suffix", "host", "site", "n", "fit", "means"]
             )
 
-    return run
+    return trimmed(run)
 
 
 def primary(tag: Column) -> Column:
@@ -121,18 +123,20 @@ def markup_language(html: Column) -> Column:
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, host: Column | None = None,
-    accept: tuple[str, ...] | None = None, min_score: float = MIN_SCORE, per_language: int = PER_LANGUAGE,
+    accept: tuple[str, ...] | None = None, min_score: float = MIN_SCORE, per_language: int = PER_LANGUAGE, min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """One row per row of docs: id, declared, lang, score, accepted.
 
     text, declared and host default to the columns text, lang and source. Languages are those declared by
-    at least ``MIN_ROWS`` rows; the trigram tables look at about per_language rows of each. A row is
+    at least ``min_rows`` rows (a rarer tag says nothing that trigrams could be fitted on, and counts as no
+    declaration); of languages that tie, the alphabetically first is taken. The trigram tables look at about per_language rows of each. A row is
     accepted when its text has a letter, its best language is in ``accept`` (default: all) and reaches
     min_score. Null or letterless texts and those that fit no language better than the model of unknown text
     are rejected with lang null and score 0, as is everything where no language is declared often enough. Null hosts and declarations give no evidence. Repeated rows
     each count; other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     work = shared_dir(spark)
     text = F.col("text") if text is None else text
     declared = F.col("lang") if declared is None else declared
@@ -140,7 +144,7 @@ def identify(
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), primary(declared).alias("declared"), host.alias("host"), text.alias("text"))
     rows = rows.withColumn("suffix", F.when(F.contains("host", F.lit(".")), F.substring_index("host", ".", -1)))
     rows = rows.withColumn("site", F.when(F.contains("host", F.lit(".")), F.substring_index("host", ".", -2)))
-    often = {r.declared: r.n for r in rows.where("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS).collect()}
+    often = {r.declared: r.n for r in rows.where("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).collect()}
     langs = sorted(often)
     if not langs:
         return rows.select(F.col("id").alias(id_col), "declared", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
@@ -215,7 +219,4 @@ def identify(
     out = df.select(F.col("id").alias(id_col), "declared", lang.alias("lang"), F.when(known_text, score).otherwise(0.0).alias("score"))
     good = F.col("lang").isNotNull() & (F.col("score") >= min_score)
     out = out.withColumn("accepted", good & F.col("lang").isin(*accept) if accept is not None else good)
-    out = saved(out.withColumn("accepted", F.coalesce("accepted", F.lit(False))), f"{work}/out")
-    for name in ("scored", "host", "suffix"):
-        remove(spark, f"{work}/{name}")
-    return out
+    return result(out.withColumn("accepted", F.coalesce("accepted", F.lit(False))), work)

@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquill.llm.common import remove, saved, shared_dir
+from docquill.llm.common import result, saved, shared_dir
 
 RATIO, MIN_PAGES, SALTS, BROADCAST_LINES = 0.3, 3, 16, 500_000
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
-UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>"
+# an element that is never closed reaches to the end, so text is passed once however many openers it has
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<title\b.*?(?:</title\s*>|\z)"
 BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
 TAGS = r"</?[A-Za-z!][^>]*>"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -41,7 +42,8 @@ def drop_boilerplate(pages: DataFrame, id_col: str = "page_id", host: Column | N
     host and lines default to those of the columns url and html. Every row counts as a page, repeated
     rows too; a line repeated on one page counts once. A line goes when at least ``min_pages`` pages of
     its host contain it and their share reaches ``ratio``. Pages without a host keep all lines; a null
-    text has none and an empty clean_text. Other columns are ignored.
+    text has none and an empty clean_text. Comments and elements that are never closed reach to the end of
+    the page. Other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
     work = shared_dir(spark)
@@ -60,12 +62,12 @@ def drop_boilerplate(pages: DataFrame, id_col: str = "page_id", host: Column | N
         salted = often.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", F.size("lines")), F.lit(SALTS)).cast("int"))
         both = rows.join(salted, ["host", "salt"], "left")
-    bad = F.coalesce("often", F.array().cast("array<bigint>"))
-    kept = F.when(F.size(bad) == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(bad, F.xxhash64(x))))
+    # a page's own boilerplate is found by hashing; each line is then held against those few
+    bad = F.array_intersect(F.transform("lines", lambda x: F.xxhash64(x)), F.coalesce("often", F.array().cast("array<bigint>")))
+    both = both.withColumn("bad", bad)
+    kept = F.when(F.size("bad") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("bad", F.xxhash64(x))))
     out = both.withColumn("kept", kept).select(
         F.col("id").alias(id_col), "host", F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size("kept")).cast("bigint").alias("n_dropped"), F.array_join("kept", "\n").alias("clean_text"),
     )
-    out = saved(out, f"{work}/out")
-    remove(spark, f"{work}/lines")
-    return out
+    return result(out, work)

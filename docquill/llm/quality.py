@@ -150,15 +150,25 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleModel:
-    """Fits on at most sample_rows labelled rows, those of smallest hash; null labels, ids and unmatched rows are left out."""
+    """Fits on at most sample_rows labelled rows, those of smallest hash; null labels, ids and unmatched rows are left out.
+
+    A null text counts as empty, a long one by all its words. An id that several rows have gives one labelled
+    row for each, within the bound; equal rows and ties count as often as they occur. Other columns are
+    ignored. An empty table on either side gives a model without rules, whose score is 0.5.
+    """
     own = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label is not null")
     own = own.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample_rows)  # 16 bytes a row, so broadcast is bounded
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_raw")).join(F.broadcast(own), "_id")
-    table = with_statistics(rows, "_raw", ["_id", "_label"]).toPandas().sort_values(["_id", "_label", *STATISTICS])
+    table = with_statistics(rows, "_raw", ["_id", "_label"]).orderBy(F.xxhash64("_id"), "_id", "_label", *STATISTICS).limit(sample_rows)
+    table = table.toPandas().sort_values(["_id", "_label", *STATISTICS])
     return fit(table[list(STATISTICS)].to_numpy(np.float64), (table["_label"].to_numpy() == 1).astype(np.float64))
 
 
 def scored(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of each row of docs; the score is the probability of label 1, never null."""
+    """(id, score) of each row of docs, repeated ones too; the score is the probability of label 1, never null.
+
+    A null text is scored as an empty one, a row without an id like any other; other columns are ignored,
+    an empty table gives no rows.
+    """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_raw"))
     return with_statistics(rows, "_raw", ["_id"]).select(F.col("_id").alias(id_col), model.score().alias("score"))

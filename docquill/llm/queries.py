@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquill.llm import chat, decontam, langid, lines, minhash, mixing, privacy, quality, token_files, vectors
-from docquill.llm.common import shared_dir
+from docquill.llm import chat, decontam, langid, lines, minhash, mixing, pipeline, privacy, quality, token_files, vectors
+from docquill.llm.common import result, shared_dir
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,7 +44,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     token_files.write_token_files(_read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     back = token_files.read_token_files(spark, folder)
-    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return result(back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")), folder)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,10 +157,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chat.format_chats(turns.union(trap)).write.option("compression", "zstd").parquet(folder)
     back = chat.read_chats(spark.read.parquet(folder).select("conv_id", "segments"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select(
+    digest = back.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("bigint").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+    return result(digest, folder)
 
 
 _ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
@@ -183,11 +183,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_minhash_near_dedup, op2_token_files, op3_quality_rules, op4_line_dedup, op5_language_id,
         op6_embedding_dedup, op7_mixture, op8_pii, op9_decontamination, op10_chat_format,
     )
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {
         "op1_minhash_near_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_chat_format": OP10_SQL,
     }
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return found | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

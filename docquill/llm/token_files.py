@@ -1,12 +1,14 @@
 """Token ids of whole texts, written as Huffman-coded binary files in ascending id order, and read back.
 
 Writing takes two passes over partitions that a range shuffle put in order. The first tokenizes, stages
-the ids of a partition in one file and counts them; the counts of all partitions make one code. The second
-codes each staged file. A file is complete or absent (written aside, then renamed), named by its partition,
-and equal when a task is repeated, so executors may be lost at any time.
+the ids in files of at most about ``FILE_TOKENS`` ids and counts them; the counts of all make one code. The
+second codes each staged file. So no task holds more than one file's ids, however large its partition is. A
+file is complete or absent, named by its partition and number, and equal when a task is repeated, so
+executors may be lost at any time.
 
 A file: the magic bytes, the length of a JSON header, the header, then its parts: zlib-packed code lengths,
-the documents as an Arrow stream (doc_id, n_tokens), block starts, checkpoints, payload.
+the documents as an Arrow stream (doc_id, n_tokens), block starts, checkpoints, payload. Documents are never
+parted, so only one that is itself longer makes a file longer.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docquill.llm import huffman
-from docquill.llm.common import filesystem, put, remove, saved, shared_dir, worker_state
+from docquill.llm.common import Store, bounded_batches, remove, saved, shared_dir, store, trimmed, worker_cache
 
 MAGIC = b"DQTOK001"
-WORD_LIMIT, PIECE_LIMIT = 400_000, 500_000
+WORD_LIMIT, PIECE_LIMIT = 150_000, 150_000  # words and pieces that a worker remembers
+FILE_TOKENS, PARTITION_BYTES = 4 << 20, 128 << 20
 
 # The normaliser and pre-tokenizer that WordEncoder reproduces word by word; others are run on whole texts.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -148,13 +151,13 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    state = worker_state()
-    if state.get("path") != path:
-        state["encoder"], state["path"] = WordEncoder(path), path
-    return state["encoder"]
+    cache = worker_cache("token_files")
+    if cache.get("path") != path:
+        cache["encoder"], cache["path"] = WordEncoder(path), path
+    return cache["encoder"]
 
 
-def _chunks(column: pa.ChunkedArray | pa.Array, most: int = 4 << 20) -> Iterator[list[bytes]]:
+def _chunks(column: pa.ChunkedArray | pa.Array, most: int = 1 << 20) -> Iterator[list[bytes]]:
     """A string column as lists of bytes of about ``most`` bytes; null is empty."""
     own, size = [], 0
     for x in column.cast(pa.binary()):
@@ -167,104 +170,161 @@ def _chunks(column: pa.ChunkedArray | pa.Array, most: int = 4 << 20) -> Iterator
         yield own
 
 
-def _stager(folder: str, tokenizer: str, end_id: int, vocab: int):
+DOCS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
+
+
+class _Stage:
+    """Ids as they come, flushed to a file of their own before there are more than ``most``."""
+
+    def __init__(self, where: Store, part: int, kind: type, most: int):
+        self.where, self.part, self.kind, self.most, self.files = where, part, np.dtype(kind), most, 0
+        self.codec = pa.Codec("zstd", 1)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.packed, self.docs, self.total = [], [], 0
+
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Takes documents; yields what each flush gives."""
+        while len(sizes):
+            fit = int(np.searchsorted(np.cumsum(sizes), self.most - self.total, "right"))
+            if not fit and self.total:
+                yield self.flush()
+                continue
+            fit = max(fit, 1)
+            own = ids[: sizes[:fit].sum()].astype(self.kind)
+            self.packed.append((len(own), self.codec.compress(own.tobytes(), asbytes=True)))
+            self.docs.append(pa.record_batch([doc_ids.slice(0, fit), pa.array(sizes[:fit].astype(np.int64))], schema=DOCS))
+            self.total += len(own)
+            doc_ids, ids, sizes = doc_ids.slice(fit), ids[len(own) :], sizes[fit:]
+
+    def flush(self) -> tuple[int, int, int]:
+        """(number of the file, its documents, its ids)."""
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, DOCS) as out:
+            for d in self.docs:
+                out.write_batch(d)
+        table = sink.getvalue().to_pybytes()
+        head = json.dumps({"kind": self.kind.name, "docs": len(table), "parts": [(n, len(b)) for n, b in self.packed]}).encode()
+        self.where.put(f"stage-{self.part:06d}-{self.files:06d}", len(head).to_bytes(8, "little") + head + table + b"".join(b for _, b in self.packed))
+        done = self.files, sum(map(len, self.docs)), self.total
+        self.files += 1
+        self._clear()
+        return done
+
+
+def _stager(where: Store, tokenizer: str, end_id: int, vocab: int, most: int):
     kind = np.uint16 if vocab <= 1 << 16 else np.uint32
+    names = ["part", "file", "n_docs", "n_tokens", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packed, docs, total = encoder(tokenizer), [], [], 0
-        counts, codec = np.zeros(vocab, np.int64), pa.Codec("zstd", 1)
+        part, counts = TaskContext.get().partitionId(), np.zeros(vocab, np.int64)
+        enc, stage = encoder(tokenizer), _Stage(where, part, kind, most)
+        none = pa.array([[]], pa.list_(pa.int32())), pa.array([[]], pa.list_(pa.int64()))
+
+        def row(file: int, n_docs: int, n_tokens: int, ids: pa.Array = none[0], n: pa.Array = none[1]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64()), ids, n], names=names)
+
         for batch in batches:
-            sizes = []
+            at = 0
             for texts in _chunks(batch.column(1)):
                 ids, n = enc.encode(texts)
-                stops = np.cumsum(n)
-                full = np.insert(ids, stops, end_id).astype(kind)
+                full = np.insert(ids, np.cumsum(n), end_id)
                 counts += np.bincount(full, minlength=vocab)
-                packed.append((len(full), codec.compress(full.tobytes(), asbytes=True)))
-                sizes.append(n + 1)
-                total += len(full)
-            if sizes:
-                docs.append(pa.record_batch([batch.column(0), pa.array(np.concatenate(sizes))], names=["doc_id", "n_tokens"]))
-        if not docs:
-            return
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, docs[0].schema) as out:
-            for d in docs:
-                out.write_batch(d)
-        table = sink.getvalue().to_pybytes()
-        head = json.dumps({"kind": np.dtype(kind).name, "docs": len(table), "parts": [(n, len(b)) for n, b in packed]}).encode()
-        part = TaskContext.get().partitionId()
-        store, path = filesystem(folder)
-        put(store, f"{path}/stage-{part:06d}", len(head).to_bytes(8, "little") + head + table + b"".join(b for _, b in packed))
+                for done in stage.add(batch.column(0).slice(at, len(texts)), full, n + 1):
+                    yield row(*done)
+                at += len(texts)
+        if stage.docs:
+            yield row(*stage.flush())
         seen = np.flatnonzero(counts)
-        yield pa.record_batch(
-            [pa.array([part], pa.int32()), pa.array([sum(map(len, docs))], pa.int64()), pa.array([total], pa.int64()), pa.array([seen.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts[seen]], pa.list_(pa.int64()))],
-            names=["part", "n_docs", "n_tokens", "ids", "counts"],
-        )
+        if len(seen):  # a row without a file: what occurred in this partition
+            yield row(-1, 0, 0, pa.array([seen.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts[seen]], pa.list_(pa.int64())))
 
-    return run
+    return trimmed(run)
 
 
-def _coder(stage: str, out: str, parts: list[int], packed_lengths: bytes):
+def _coder(stage: Store, out: Store, packed_lengths: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("token_files")
         lengths = np.frombuffer(zlib.decompress(packed_lengths), np.uint8)
         codes = huffman.canonical_codes(lengths)
         codec = pa.Codec("zstd")
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                store, path = filesystem(stage)
-                with store.open_input_stream(f"{path}/stage-{parts[k]:06d}") as f:
-                    head = json.loads(f.read(int.from_bytes(f.read(8), "little")))
-                    kind = np.dtype(head["kind"])
-                    table = f.read(head["docs"])
-                    ids = [np.frombuffer(codec.decompress(f.read(size), n * kind.itemsize), kind) for n, size in head["parts"]]
+            for k, part, file in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+                data = memoryview(stage.get(f"stage-{part:06d}-{file:06d}"))
+                at = 8 + int.from_bytes(data[:8], "little")
+                head = json.loads(bytes(data[8:at]))
+                kind, table = np.dtype(head["kind"]), bytes(data[at : at + head["docs"]])
+                at, ids = at + head["docs"], []
+                for n, size in head["parts"]:
+                    ids.append(np.frombuffer(codec.decompress(data[at : at + size], n * kind.itemsize), kind))
+                    at += size
                 ids = np.concatenate(ids)
                 payload, starts, marks = huffman.encode(ids, lengths, codes)
                 pieces = [packed_lengths, table, starts.astype("<i8").tobytes(), marks.astype("<u4").tobytes(), payload]
                 header = json.dumps({"tokens": len(ids), "block": huffman.BLOCK, "step": huffman.STEP, "parts": list(map(len, pieces))}).encode()
-                store, path = filesystem(out)
-                put(store, f"{path}/tokens-{k:06d}.dqt", MAGIC + len(header).to_bytes(8, "little") + header + b"".join(pieces))
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([len(ids)], pa.int64())], names=["file", "n_tokens"])
+                out.put(f"tokens-{k:08d}.dqt", MAGIC + len(header).to_bytes(8, "little") + header + b"".join(pieces))
+                yield pa.record_batch([pa.array([k], pa.int64()), pa.array([len(ids)], pa.int64())], names=["file", "n_tokens"])
+
+    return trimmed(run)
 
-    return run
 
+def _partitions(docs: DataFrame) -> int:
+    """The session's number of shuffle partitions, or one for each PARTITION_BYTES of input where that is known and more."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, -(-size // PARTITION_BYTES)) if size < 1 << 60 else usual
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes all texts to ``folder``; returns its manifest (file, n_docs, n_tokens), also kept there.
 
     Each text's ids (add_special_tokens off) are followed by end_id. Rows go in ascending id order, ties
-    by text, rows without an id first; a null text is empty. Repeated rows are written as often as they
-    occur, other columns of docs are ignored, an empty table gives no files.
+    by a hash of the text, rows without an id first; a null text is empty. Repeated rows are written as often
+    as they occur, other columns of docs are ignored, an empty table gives no files. Ids may be repeated, or
+    missing, in any number of rows: ranges part within one id, too. A text is read whole by one task.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     vocab = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
-    stage = shared_dir(spark)
-    for where in (stage, folder):
-        store, path = filesystem(where)
-        store.create_dir(path, recursive=True)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(n, F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), "text")
-    schema = "part int, n_docs bigint, n_tokens bigint, ids array<int>, counts array<bigint>"
-    staged = saved(rows.mapInArrow(_stager(stage, tokenizer, end_id, vocab), schema), f"{stage}-counts")
-    # as many rows as the vocabulary has ids, and as many as there are files
+    work = shared_dir(spark)
+    stage, out = store(spark, f"{work}/stage"), store(spark, folder)
+    stage.make()
+    out.make()
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    order = [F.asc_nulls_first("id"), F.xxhash64("text")]
+    rows = rows.repartitionByRange(_partitions(docs), *order).sortWithinPartitions(*order, "text")
+    schema = "part int, file int, n_docs bigint, n_tokens bigint, ids array<int>, counts array<bigint>"
+    staged = saved(rows.mapInArrow(_stager(stage, tokenizer, end_id, vocab, file_tokens), schema), f"{work}/counts")
+    # as many rows as the vocabulary has ids
     sums = staged.select(F.explode(F.arrays_zip("ids", "counts")).alias("z")).groupBy("z.ids").agg(F.sum("z.counts").alias("n")).collect()
     counts = np.zeros(vocab, np.int64)
     for i, c in sums:
         counts[i] = c
-    files = staged.select("part", "n_docs", "n_tokens").orderBy("part").collect()
     packed = zlib.compress(huffman.code_lengths(counts).tobytes(), 9)
-    if files:
-        code = _coder(stage, folder, [f.part for f in files], packed)
-        done = spark.range(0, len(files), 1, len(files)).mapInArrow(code, "file int, n_tokens bigint")
-        done.write.mode("overwrite").parquet(f"{stage}-done")
-    manifest = spark.createDataFrame([(k, f.n_docs, f.n_tokens) for k, f in enumerate(files)], "file int, n_docs bigint, n_tokens bigint")
-    manifest = saved(manifest.coalesce(1), f"{folder}/manifest")
-    for where in (stage, f"{stage}-counts", f"{stage}-done"):
-        remove(spark, where)
+    files = numbered_files(staged.where("file >= 0").select("part", "file", "n_docs", "n_tokens"), work)
+    done = files.select("k", "part", "file").mapInArrow(_coder(stage, out, packed), "file bigint, n_tokens bigint")
+    done.write.mode("overwrite").parquet(f"{work}/done")
+    manifest = saved(files.select(F.col("k").alias("file"), "n_docs", "n_tokens", "before"), f"{folder}/manifest")
+    remove(spark, work)
     return manifest
 
 
+def numbered_files(files: DataFrame, work: str) -> DataFrame:
+    """files with k, their numbers in order, and before, the ids of all files before them.
+
+    Sums by partition come first; only these, a row for each partition, pass one window.
+    """
+    parts = files.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
+    past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("k0"), F.coalesce(F.sum("t").over(past), F.lit(0)).alias("t0"))
+    inside = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    out = files.withColumn("own", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts, "part")
+    out = out.select((F.col("k0") + F.col("file")).alias("k"), "part", "file", "n_docs", "n_tokens", (F.col("t0") + F.col("own")).alias("before"))
+    # coding goes on in parallel, a few files a task
+    return saved(out.repartition(F.col("k")), f"{work}/files")
+
+
 def read_file(data: bytes) -> tuple[pa.Table, np.ndarray]:
     """(documents: doc_id and n_tokens, all ids) of one file."""
     if data[:8] != MAGIC:
@@ -281,24 +341,23 @@ def read_file(data: bytes) -> tuple[pa.Table, np.ndarray]:
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) from the files alone; ids are little-endian unsigned 32-bit integers."""
-    sizes = [r.n_tokens for r in spark.read.parquet(f"{folder}/manifest").orderBy("file").collect()]
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    where = store(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = filesystem(folder)
+        worker_cache("token_files")
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                with store.open_input_stream(f"{path}/tokens-{k:06d}.dqt") as f:
-                    docs, ids = read_file(f.read())
-                raw = ids.astype("<u4")
-                ends = np.cumsum(docs["n_tokens"].to_numpy())
-                starts = ends - docs["n_tokens"].to_numpy()
-                for low in range(0, len(ends), 1024):
-                    high = min(low + 1024, len(ends))
+            for k, before in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True):
+                docs, ids = read_file(where.get(f"tokens-{k:08d}.dqt"))
+                raw, size, doc_ids = ids.astype("<u4", copy=False), docs["n_tokens"].to_numpy(), docs["doc_id"].combine_chunks()
+                ends = np.cumsum(size)
+                starts, low = ends - size, 0
+                while low < len(ends):  # batches of bounded size
+                    high = max(low + 1, int(np.searchsorted(ends, starts[low] + (1 << 20), "right")))
                     own = [raw[a:b].tobytes() for a, b in zip(starts[low:high], ends[low:high], strict=True)]
                     yield pa.record_batch(
-                        [docs["doc_id"].slice(low, high - low).combine_chunks(), pa.array(starts[low:high] + offsets[k]), pa.array(ends[low:high] - starts[low:high]), pa.array(own, pa.binary())],
-                        names=["doc_id", "start", "n_tokens", "ids"],
+                        [doc_ids.slice(low, high - low), pa.array(starts[low:high] + before), pa.array(size[low:high]), pa.array(own, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"]
                     )
+                    low = high
 
-    return spark.range(0, len(sizes), 1, max(1, len(sizes))).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    files = spark.read.parquet(f"{folder}/manifest").select("file", "before")
+    return files.mapInArrow(trimmed(run), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
