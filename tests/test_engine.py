@@ -444,3 +444,15 @@ def test_pdf_text(db):
     db.put_object("docs", "a.pdf", data, "application/pdf")
     db.put_object("docs", "b.txt", b"another engine", "text/plain")
     assert {r["key"] for r in db.search("engine")} == {"a.pdf", "b.txt"} and [r["key"] for r in db.search("draft")] == ["a.pdf"]
+
+
+def test_many_writers_at_once(db):
+    from concurrent.futures import ThreadPoolExecutor
+
+    db.insert("m", {"n": -1})
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda k: db.insert("m", {"n": k}), range(4)))
+        list(pool.map(lambda k: db.update("m", {"n": k}, {"$inc": {"hits": 1}}), [-1] * 3))
+    assert sorted(ids) == [2, 3, 4, 5] and sorted(d["n"] for d in db.find("m")) == [-1, 0, 1, 2, 3]
+    assert db.get("m", 1)["hits"] == 3 and db.get("m", 1)["_version"] == 4
+    assert [r.token for r in db.changes("m").collect()] == list(range(1, 9))
