@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquill.llm.common import remove, saved, shared_dir
+from docquill.llm.common import result, saved, shared_dir
 
 LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -28,7 +28,7 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 TERM = r"\p{L}"
-SMOOTH, REMOVE, GENERALISE = 1.0, 0.95, 0.8
+SMOOTH, REMOVE, GENERALISE, RUN = 1.0, 0.95, 0.8, 256
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "removed": "", "general": "<TERM>"}
 
 _SPAN = "array<struct<start: bigint, stop: bigint, value: string>>"
@@ -58,17 +58,32 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with the value computed once: a lambda's variable holds it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def matches(text: Column, pattern: Column) -> Column:
-    """All matches with code-point positions: the pieces between matches give the distances."""
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    """All matches with code-point positions: the pieces between matches give the distances.
+
+    Positions are summed up in runs of RUN matches, and over the runs, so many matches in one text don't cost their square.
+    """
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    zero = F.lit(0).cast("bigint")
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         stop = start + F.length(x["value"])
         return F.struct(stop.alias("at"), F.array_append(state["spans"], F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"))).alias("spans"))
 
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(F.filter(F.arrays_zip(gaps.alias("gap"), values.alias("value")), lambda x: x["value"].isNotNull()), begin, step)["spans"]
+    def runs(pairs: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / RUN).cast("int")), lambda k: F.slice(pairs, k * RUN + 1, F.lit(RUN)))
+        return _let(each, lambda own: _let(F.transform(own, lambda r: F.aggregate(r, zero, lambda t, x: t + F.length(x["gap"]) + F.length(x["value"]))), lambda long: F.flatten(F.transform(own, lambda r, k: one(r, F.aggregate(F.slice(long, F.lit(1), k), zero, lambda t, n: t + n))))))
+
+    def one(pairs: Column, at: Column) -> Column:
+        return F.aggregate(pairs, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("spans")), step)["spans"]
+
+    return _let(F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda x: x["value"].isNotNull()), runs)
 
 
 def _checked(kind: str, spans: Column) -> Column:
@@ -99,22 +114,43 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 
-def disclosing_terms(rows: DataFrame, text: DataFrame, smooth: float = SMOOTH, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, share) of the terms that reveal at least ``generalise`` of an entity.
+def classes_of(held: DataFrame) -> DataFrame:
+    """held (id, entity) with ne, the number of documents of the entity, and class: entities of the same documents share one.
+
+    A class is known by ne and 128 bits over its documents' ids. Terms can't tell its entities apart, so each counts once.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"x{k}") for k in range(2)]
+    entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("ne"), *marks)
+    return held.join(entity.select("entity", "ne", F.struct("ne", "x0", "x1").alias("class")), "entity")
+
+
+def disclosing_terms(rows: DataFrame, text: DataFrame, work: str, smooth: float = SMOOTH, generalise: float = GENERALISE) -> DataFrame:
+    """(id, term, share): for each document that holds entities, its terms that reveal at least ``generalise`` of one, and the most.
 
     rows: (id, entities, text) of the documents that hold any; text: (id, text) of all documents.
+    A term can only reach ``generalise`` while few documents hold it: P(entity | term) is at most ne * (1 + smooth / N) /
+    (nt + smooth) and must reach (ne / N) ** (1 - generalise). So terms that are too frequent for all entities of a
+    document go before any pair of an entity and a term is made.
     """
-    n = text.count()
+    n = float(max(1, text.count()))
     held = rows.select("id", F.explode(F.array_distinct("entities")).alias("entity")).distinct()
-    entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("ne"))
-    held = held.join(entity, "entity")
-    near = rows.join(held.select("id").distinct(), "id", "left_semi").select("id", F.explode(terms_of(F.col("text"))).alias("term")).distinct()
-    both = held.join(near, "id").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.first("ne").alias("ne"))
+    held = saved(classes_of(held).select("id", "class", "ne").distinct(), f"{work}/held")
+    enough = lambda ne: ne * (1 + smooth / F.lit(n)) * F.pow(F.lit(n) / ne, F.lit(1 - generalise)) * (1 + 1e-9) - smooth  # the most nt
+    bound = held.groupBy("id").agg(F.max("ne").alias("ne")).select("id", enough(F.col("ne")).alias("most"))
+    near = rows.join(bound, "id").select("id", "most", F.explode(terms_of(F.col("text"))).alias("term")).distinct()
+    near = saved(near, f"{work}/near")
+    wanted = near.groupBy("term").agg(F.max("most").alias("most"))
+    # terms of all texts are counted where they are found; only those that a holder has, and that stay rare enough, go on
     every = text.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
-    info = F.log2(F.lit(float(n)) / F.col("ne"))
-    likely = (F.col("both") + smooth * F.col("ne") / F.lit(float(n))) / (F.col("nt") + smooth)  # P(entity | term)
-    share = F.when(info > 0, F.log2(likely * F.lit(float(n)) / F.col("ne")) / info)
-    return both.join(every, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    every = saved(every.join(wanted, "term").where("nt <= most").select("term", "nt"), f"{work}/every")
+    rare = near.join(every, "term").where("nt <= most").select("id", "term", "nt")
+    met = held.join(rare, "id").where(F.col("nt") <= enough(F.col("ne")))
+    both = met.groupBy("class", "term").agg(F.count(F.lit(1)).alias("both"), F.first("ne").alias("ne"), F.first("nt").alias("nt"))
+    info = F.log2(F.lit(n) / F.col("ne"))
+    likely = (F.col("both") + smooth * F.col("ne") / F.lit(n)) / (F.col("nt") + smooth)  # P(entity | term)
+    share = F.when(info > 0, F.log2(likely * F.lit(n) / F.col("ne")) / info)
+    telling = both.select("class", "term", share.alias("share")).where(F.col("share") >= generalise)
+    return held.select("id", "class").join(telling, "class").groupBy("id", "term").agg(F.max("share").alias("share"))
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smooth: float = SMOOTH, remove_at: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
@@ -134,10 +170,8 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = with_base_spans(text).withColumn("entities", entities)
     base = saved(base.withColumn("text", F.when((F.size("entities") > 0) & F.col("id").isNotNull(), F.col("text"))), f"{work}/base")
     holders = base.where("text is not null").select("id", "entities", "text")
-    telling = saved(disclosing_terms(holders, text, smooth, generalise), f"{work}/telling")
-    own = holders.select("id", F.explode(F.array_distinct("entities")).alias("entity")).join(telling, "entity")
-    own = own.groupBy("id", "term").agg(F.max("share").alias("share")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
-    own = saved(own, f"{work}/own")
+    telling = disclosing_terms(holders, text, work, smooth, generalise)
+    own = saved(telling.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), f"{work}/own")  # terms of one document
     with_terms = holders.join(own, "id")
     alternatives = F.array_join(F.array_sort(F.map_keys("shares"), lambda a, b: F.length(b) - F.length(a)), "|")
     pattern = F.concat(F.lit(rf"(?iu)(?<!{TERM})(?:"), alternatives, F.lit(rf")(?!{TERM})"))
@@ -148,10 +182,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     taken = F.concat(*(F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))) for k in kinds))
     out = base.withColumn("h", F.xxhash64("text")).join(term, ["id", "h"], "left").withColumn("taken", taken)
     free = F.filter(F.coalesce("term", F.array().cast(_SPAN)), lambda t: ~F.exists("taken", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    out = saved(out.select(F.col("id").alias(id_col), *kinds, free.alias("term")), f"{work}/out")
-    for name in ("base", "telling", "own"):
-        remove(spark, f"{work}/{name}")
-    return out
+    return result(out.select(F.col("id").alias(id_col), *kinds, free.alias("term")), work)
 
 
 def sanitised(text: Column, spans: Column) -> Column:
