@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-import corpus_pipeline
+from docquill.llm import pipeline as corpus_pipeline
+from docquill.llm import mixing
 from docquill.llm.common import saved, shared_dir
 from test_text_operators import FOREIGN
 from tests_llm_rules import plain_hits, shingle_parts
@@ -34,8 +35,10 @@ def test_stages(spark):
             assert set(left) == {i for i, p in part.items() if i == p} and len(left) < len(texts)
         elif name == "decontaminate":
             assert set(left) == {i for i, t in texts.items() if not plain_hits(t, items)[1]} and len(left) < len(texts)
-        else:
-            assert 0.5 < sum(len(t.split()) for t in left.values()) / sum(len(t.split()) for t in texts.values()) < 1
+        else:  # the rows that the mix keeps, about as many as their probabilities say
+            found = mixing.mix(docs).toPandas()
+            assert set(left) == set(found["doc_id"][found["kept"]]) and len(left) < len(texts)
+            assert found["tokens"][found["kept"]].sum() / found["tokens"].sum() == pytest.approx((found["prob"] * found["tokens"]).sum() / found["tokens"].sum(), abs=0.15)
         docs, texts = after, left
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}
@@ -45,6 +48,8 @@ def test_stages(spark):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert set(got) == set(texts)
+    whole = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}  # all stages as one run
+    assert whole == got
 
 
 def test_language_stage_drops_foreign_and_junk_rows(spark):
@@ -61,5 +66,8 @@ def test_stages_stand_odd_rows(spark):
     for df in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, df.withColumn("id", F.lit("x")), SF).columns == [*df.columns, "id"]
+        tokens = corpus_pipeline.token_ids(spark, df.withColumn("id", F.lit("x")), SF)
+        assert tokens.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and tokens.count() == df.count()
+    rows.append((3, "other words stand here under the same id", "en", "a", 9))
     once = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, schema), SF)
-    assert sorted(str(r.doc_id) for r in once.collect()) == ["1", "2", "3", "None"]
+    assert sorted((str(r.doc_id), r.text or "") for r in once.collect()) == [("1", ""), ("2", ""), ("3", "other words stand here under the same id"), ("3", "same words here"), ("None", "some text here")]

@@ -1,19 +1,22 @@
 """Operators on documents against brute force, and the rows that every operator must stand."""
 
-import hashlib
+import math
 import os
 import random
 import re
+import shutil
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docquill.llm import decontam, huffman, langid, lines, minhash, mixing, privacy, quality, queries, token_files
-from docquill.llm.common import connected_components, shared_dir
+from docquill.llm.common import connected_components, shared_dir, store
 from tests_llm_rules import plain_hits, shingle_parts, shingles
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -72,14 +75,43 @@ def test_near_duplicates_odd_rows(spark):
 
 
 def test_prefix_pairs_need_no_shared_bands(spark, monkeypatch):
-    """Sets of 25 to 34 shingles that a prefix key proposes are confirmed, however few bands they share."""
-    monkeypatch.setattr(minhash, "SHARED", minhash.BANDS + 1)
+    """Sets of 25 to 34 shingles that a prefix key proposes are confirmed, however few bins agree."""
+    monkeypatch.setattr(minhash, "AGREE", minhash.BINS + 1)
     w = [f"a{k}" for k in range(36)]
     rows = [(1, " ".join(w[:34]), "en", "s", 0), (2, " ".join(w[2:]), "en", "s", 0)]
     assert all(len(shingles(r[1])) == 30 for r in rows)
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()} == {1: 1, 2: 1}
 
 
+def test_crowded_buckets_are_settled(spark):
+    """Texts that share a passage fill buckets without being alike; those among them that are alike are all found."""
+    rng = random.Random(21)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = []
+    for k in range(120):
+        own = " ".join(f"o{rng.randrange(10**6)}" for _ in range(50))
+        rows.append((2 * k, f"{own} {passage}", "en", "s", 0))
+        if k % 6 == 0:  # its near copy, with an id far from it
+            rows.append((10_000 + k, noisy(rng, f"{own} {passage}", 0.02), "en", "s", 0))
+    rows += [(20_000 + k, f"{passage} {passage[:150]} x{k}", "en", "s", 0) for k in range(30)]  # mostly the passage
+    part = shingle_parts({r[0]: r[1] for r in rows})
+    for crowd in (8, minhash.CROWD, 10**9):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), crowd=crowd).collect()}
+        assert got == part, crowd
+
+
+def test_signature_filter_keeps_pairs_at_the_threshold(spark):
+    """Random pairs at 0.7 agree in AGREE bins; pairs of texts that share a passage alone mostly don't."""
+    def tags(n, common, side):
+        run = lambda name, a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda j: F.xxhash64(F.lit(name), F.col("id"), j))
+        sets = spark.range(0, 2000, 1, 4).select("id", F.sort_array(F.concat(run("both", 1, common), run(side, common + 1, n))).alias("grams"))
+        return minhash._bands(sets, 70, 100).select("id", F.col("tags").alias(side))
+
+    for n, common, low, high in ((34, 28, 1.0, 1.0), (300, 247, 1.0, 1.0), (300, 138, 0.0, 0.02)):  # similarities 0.7, 0.7, 0.3
+        both = tags(n, common, "a").join(tags(n, common, "b"), "id")
+        assert low <= both.agg(F.avg((minhash._agreeing(F.col("a"), F.col("b")) >= minhash.AGREE).cast("int"))).first()[0] <= high
+
+
 def test_signature_is_consistent(spark):
     """Equal sets give equal keys, dense and sparse ones alike; each band is there."""
     rows = [(k, " ".join(f"a{j}" for j in range(n)), "en", "s", 0) for k, n in enumerate((30, 30, 90, 2000))]
@@ -109,12 +141,17 @@ def test_huffman():
     flat = huffman.code_lengths(np.array([5, 5, 5, 5]))
     assert (flat == 2).all()
     with pytest.raises(ValueError):
-        huffman.code_lengths(np.ones(70_000))
+        huffman.code_lengths(np.ones(70_000), 16)
+    for ids in (np.arange(300_000) % 100_000, rng.zipf(1.1, 300_000).clip(0, 250_000)):  # alphabets beyond 16 bits
+        lengths = huffman.code_lengths(np.bincount(ids, minlength=250_001))
+        assert huffman.LIMIT < huffman.width_of(lengths) <= 20
+        coded = huffman.encode(ids, lengths, huffman.canonical_codes(lengths))
+        assert (huffman.decode(coded[0], len(ids), *coded[1:], lengths) == ids).all()
 
 
-def written(spark, df, name="word_bpe_49k.json", end=2):
+def written(spark, df, name="word_bpe_49k.json", end=2, **more):
     folder = shared_dir(spark)
-    token_files.write_token_files(df, folder, public_tokenizers.path(name), end)
+    token_files.write_token_files(df, folder, public_tokenizers.path(name), end, **more)
     return [r.asDict() for r in token_files.read_token_files(spark, folder).orderBy("start").collect()]
 
 
@@ -126,13 +163,21 @@ def test_token_files(spark, name):
     got = written(spark, frame(spark, rows), name)
     want = sorted(((-1 if i is None else i, t or "") for i, t, *_ in rows))
     assert [-1 if r["doc_id"] is None else r["doc_id"] for r in got] == [i for i, _ in want]
+    check_tokens(tok, got, want)
+    # however small the files are, and however many rows share an id, rows and order stay
+    many = [*rows, *((7, f"hot {k} " * (k % 5), "en", "s", 0) for k in range(60)), *((None, f"none {k}", "en", "s", 0) for k in range(20))]
+    small, large = written(spark, frame(spark, many), name, file_tokens=50), written(spark, frame(spark, many), name)
+    assert small == large and len(small) == len(many)
+    assert written(spark, frame(spark, []), name) == []
+
+
+def check_tokens(tok, got, want):
     start = 0
     for r, (_, text) in zip(got, want, strict=True):
         ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 2], "<u4")
         assert (r["start"], r["n_tokens"], bytes(r["ids"])) == (start, len(ids), ids.tobytes()), text[:50]
         assert zlib.crc32(bytes(r["ids"])) == zlib.crc32(ids.tobytes())
         start += len(ids)
-    assert written(spark, frame(spark, []), name) == []
 
 
 def test_word_cache_limits(monkeypatch):
@@ -227,6 +272,48 @@ def test_disclosing_terms(spark):
     assert "m@x.org" not in clean and "<EMAIL>" in clean and "allory" not in clean.lower() and "usual thing" in clean
 
 
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"u{k}@h{k % 7}.example.org é 10.0.{k % 256}.{k // 256}" for k in range(3000))
+    row = privacy.find_personal(frame(spark, [(1, text, "en", "s", 0)])).first()
+    for kind in ("email", "ip"):
+        assert [(s.start, s.stop, s.value) for s in row[kind]] == plain_spans(text)[kind]
+
+
+def test_term_spans_against_brute_force(spark):
+    rng = random.Random(31)
+    vocab = [f"v{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(100)]
+    people = [f"p{k}@x.org" for k in range(25)]
+    rows = []
+    for k in range(160):
+        words = rng.choices(vocab, [1 / (j + 1) for j in range(100)], k=rng.randrange(1, 25))
+        if k % 3 == 0:
+            words.insert(rng.randrange(len(words) + 1), people[min(rng.randrange(25), rng.randrange(25))])
+        if k % 9 == 0:
+            words += ["+49 30 1234567", people[3]]
+        rows.append((k, " ".join(words), "en", "s", 0))
+    entity, terms, n = {}, {}, len(rows)
+    for i, t, *_ in rows:
+        for kind, spans in plain_spans(t).items():
+            for s in spans:
+                entity.setdefault((kind, s[2].lower()), set()).add(i)
+        for w in set(re.findall("[a-z]+", re.sub(PLAIN[0][1], " ", t))):
+            terms.setdefault(w, set()).add(i)
+    want = {}
+    for docs in entity.values():
+        for w, there in terms.items():
+            both, ne, nt = len(docs & there), len(docs), len(there)
+            if both and ne < n:
+                share = np.log2((both + ne / n) / (nt + 1) * n / ne) / np.log2(n / ne)
+                if share >= 0.45:
+                    for i in docs & there:
+                        want[i, w] = max(share, want.get((i, w), 0))
+    got = {}
+    for r in privacy.find_personal(frame(spark, rows), generalise=0.45, remove_at=0.7).collect():
+        for s in r.term:
+            got[r.doc_id, rows[r.doc_id][1][s.start : s.stop].lower()] = s.value
+    assert len(want) > 20 and got == {k: "removed" if v >= 0.7 else "general" for k, v in want.items()} and len(set(got.values())) == 2
+
+
 def test_entities_of_few_documents_disclose(spark):
     """Values in one or two documents have terms too, short names as well; what is common elsewhere stays."""
     rows = [(0, "ask Bo Quist at b@x.org about the usual thing", "en", "s", 0)]
@@ -248,6 +335,25 @@ def test_line_dedup(spark):
     assert len(got) == 14 and lines.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_long_and_broken_pages(spark):
+    """Openers without an end, lines of a megabyte and thousands of lines: passed in one go, each with a defined text."""
+    pages = ["<!-- " * 20_000 + "<p>seen?", "<p>a</p>" + "<script>" * 20_000, "<p>" + "x" * 1_000_000, "".join(f"<p>line {k % 3_000}</p>" for k in range(6_000)), "<p>open <b", "a < b > c & d", "<style>p", "\0\r\n\t"]
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", p) for k, p in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in lines.drop_boilerplate(df).collect()}
+    assert [got[k].n_lines for k in range(8)] == [0, 1, 1, 6_000, 1, 1, 0, 1] and all(r.n_dropped == 0 for r in got.values())
+    hot = spark.createDataFrame([(k, "http://h.org/", "<p>same</p>" * 3 + f"<p>own {k}</p>") for k in range(50)], "page_id bigint, url string, html string")
+    assert all(r.clean_text == f"own {r.page_id}" and r.n_dropped == 3 for r in lines.drop_boilerplate(hot).collect())
+
+
+def test_quality_of_odd_tables(spark):
+    docs, none = frame(spark, ODD), spark.createDataFrame([], "doc_id bigint, quality int")
+    model = quality.fit_on(frame(spark, []), spark.createDataFrame([(1, 1)], "doc_id bigint, quality int"))
+    assert model.rules == () and quality.scored(frame(spark, []), model).count() == 0
+    assert all(r.score == pytest.approx(0.5) for r in quality.scored(docs, quality.fit_on(docs, none)).collect())
+    again = frame(spark, [ODD[2]] * 30)
+    assert quality.fit_on(again, spark.createDataFrame([(3, 1)] * 5, "doc_id bigint, quality int"), sample_rows=7).rules == ()
+
+
 def test_languages(spark):
     words = {"en": "the and of that with this from have", "de": "der die und das nicht mit auf eine", "fr": "les des une est dans pour que avec"}
     rng = random.Random(6)
@@ -264,6 +370,90 @@ def test_languages(spark):
     assert html.select(langid.primary(langid.markup_language(F.col("h"))).alias("x")).first().x == "fr"
 
 
+def plain_languages(rows, smooth=20.0, weight=40.0):
+    """The fusion of evidence in plain Python, over (id, text, declared, host): {id: (lang, score)}."""
+    fold = lambda t: bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (t or "").encode())
+    bucket = lambda a, b, c: ((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 16
+
+    def grams(t):
+        t = b" " + fold(t) + b" "
+        return [bucket(*t[k : k + 3]) for k in range(len(t) - 2) if t[k + 1] != 32]
+
+    langs = sorted({d for _, _, d, _ in rows if d and sum(x[2] == d for x in rows) >= 5})
+    counts, single = {x: Counter() for x in langs}, Counter()
+    for _, t, d, _ in rows:
+        if d in langs:
+            counts[d].update(grams(t))
+            single.update(fold(t))
+    like = {x: lambda g, c=counts[x]: math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * 2**16)) for x in langs}
+    used = sorted({32, *range(97, 123), *range(128, 256)})
+    share = {b: (single[b] + 0.5) / sum(single[x] + 0.5 for x in used) for b in used}
+    chance = Counter()
+    for a in used:
+        for b in used:
+            if b != 32:
+                for c in used:
+                    chance[bucket(a, b, c)] += share[a] * share[b] * share[c]
+    whole = sum(chance.values())
+    unknown = lambda g: math.log(max(chance[g] / whole, 2**-16))
+    means, guess, n = {}, {}, {}
+    for i, t, _, _ in rows:
+        g = grams(t)
+        n[i] = len(g)
+        if g:
+            means[i] = {x: sum(map(like[x], g)) / len(g) for x in langs}
+            best = max(langs, key=lambda x: means[i][x])
+            if means[i][best] >= sum(map(unknown, g)) / len(g):
+                guess[i] = best
+    total = Counter(guess.values())
+    overall = {x: (total[x] + 1) / (len(guess) + len(langs)) for x in langs}
+    said = Counter((d, guess[i]) for i, _, d, _ in rows if d in langs and i in guess)
+    claim = lambda d, x: math.log((said[d, x] + 1) / (sum(said[e, x] for e in langs) + len(langs))) if d in langs else 0.0
+    def known_at(key, of):
+        return Counter(guess[i] for i, _, _, h in rows if i in guess and h and of(h) == key)
+    site_of, suffix_of = (lambda h: ".".join(h.split(".")[-2:]) if "." in h else None), (lambda h: h.split(".")[-1] if "." in h else None)
+    smoothed = lambda c, parent, x: (c[x] + smooth * parent[x]) / (sum(c.values()) + smooth)
+    out = {}
+    for i, _, d, h in rows:
+        if i not in guess:
+            out[i] = (None, 0.0)
+            continue
+        logs = {}
+        for x in langs:
+            prior, suffix = overall, 0.0
+            if h and site_of(h):
+                at = known_at(site_of(h), site_of)
+                prior = {y: smoothed(at, prior, y) for y in langs}
+                suffix = math.log((known_at(suffix_of(h), suffix_of)[x] + smooth * overall[x]) / (total[x] + smooth))
+            if h:
+                at = known_at(h, lambda y: y)
+                prior = {y: smoothed(at, prior, y) for y in langs}
+            logs[x] = min(n[i], weight) * means[i][x] + claim(d, x) + suffix + math.log(prior[x])
+        best = max(langs, key=lambda x: logs[x])
+        out[i] = (best, 1 / sum(math.exp(v - logs[best]) for v in logs.values()))
+    return out
+
+
+def test_languages_against_brute_force(spark):
+    """Every kind of evidence, and rows in which each decides: hosts with a site and without, wrong, rare and missing declarations."""
+    words = {"en": "the and of that with this from have", "de": "der die und das nicht mit auf eine", "es": "los las una con para que por está"}
+    rng = random.Random(41)
+    rows = []
+    for k in range(150):
+        lang = rng.choice(list(words))
+        text = " ".join(rng.choice(words[lang].split()) for _ in range(rng.choice((1, 2, 8))))
+        declared = rng.choice([lang] * 6 + ["de", None, "xx" if k % 50 == 0 else lang])
+        rows.append((k, text, declared, rng.choice([f"w{k % 3}.site-{lang}.{lang}", f"w.site-{lang}.org", lang, None])))
+    rows += [(500, "d o a", "en", "w0.site-de.de"), (501, "o e", None, "w0.site-es.es"), (502, "a", "de", "es"), (503, "12", "en", None), (504, None, None, None), (505, "Жук в лесу", "en", "en")]
+    docs = frame(spark, [(i, t, d, h, 0) for i, t, d, h in rows])
+    got = {r.doc_id: (r.lang, r.score) for r in langid.identify(docs).collect()}
+    want = plain_languages(rows)
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-9) for i in want)
+    text_alone = plain_languages([(i, t, d, None) for i, t, d, _ in rows])
+    assert any(text_alone[i][0] != x for i, (x, _) in want.items())  # hosts change a verdict
+
+
 FOREIGN = (
     "Это обычный русский текст о погоде и людях, которые живут в большом городе", "これは普通の日本語の文章で、天気について書いてあります", "Жук",
     "To jest zwykły polski tekst o pogodzie i ludziach, którzy mieszkają w dużym mieście i często jeżdżą pociągiem",
@@ -360,5 +550,89 @@ def test_mixing_meets_targets_in_the_sample(spark, driver_cells):
     assert mixing.mix(frame(spark, [(1, "", "en", "a", 0), (2, None, "fr", "b", 0)]), driver_cells=driver_cells).where("prob <> 0").count() == 0
 
 
-def test_digest_of_nothing():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
+def test_mixture_query_is_the_bounded_raking(spark):
+    """Raking bounded at 1 has one solution: min(1, a product of one factor a value) that meets all shares. The query's rows are it."""
+    out = queries.op7_mixture(spark, SF).toPandas()
+    texts = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(out) == len(texts) and all(out["tokens"] == [len(re.findall(r"\S+", texts[i].text or "")) for i in out["doc_id"]])
+    cells = out.groupby(list(mixing.DIMENSIONS)).agg(tokens=("tokens", "sum"), prob=("prob", "first"), spread=("prob", "nunique")).reset_index()
+    assert (cells["spread"] == 1).all() and cells["prob"].between(0, 1).all()
+    sample = (cells["prob"] * cells["tokens"]).sum()
+    for d in mixing.DIMENSIONS:
+        shares = cells.groupby(d)["tokens"].sum()
+        goal = shares ** mixing.TEMPER[d] / (shares ** mixing.TEMPER[d]).sum()
+        have = (cells["prob"] * cells["tokens"]).groupby(cells[d]).sum() / sample
+        assert np.allclose(have, goal, atol=1e-4)
+    some = cells[cells["tokens"] > 0]
+    design = np.concatenate([(some[d].to_numpy()[:, None] == np.unique(some[d])[None]).astype(float) for d in mixing.DIMENSIONS], 1)
+    free = (some["prob"] < 1 - 1e-9).to_numpy()
+    logs = np.log(some["prob"].to_numpy())
+    factors, *_ = np.linalg.lstsq(design[free], logs[free], rcond=None)
+    assert np.abs(design[free] @ factors - logs[free]).max() < 1e-3  # a product of factors wherever the bound is not met
+    row = spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(17), F.lit(int(i)).cast("bigint"), F.lit(texts[i].text or "")), F.lit(1 << 52)).alias(f"u{i}") for i in out["doc_id"][:50])).first()
+    assert [bool(row[f"u{i}"] / 2**52 < p) for i, p in zip(out["doc_id"][:50], out["prob"][:50], strict=True)] == list(out["kept"][:50])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables aren't here")
+def test_quality_query_on_held_out_labels(spark):
+    """The driver's labels: rows of the held-out fold, which the fit never sees, against a guess of the larger class."""
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op3_quality_rules(spark, sf).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for i, r in got.items())
+    held = [(got[i], q) for i, q in labels.items() if got[i].held_out]
+    right = sum(r.predicted == q for r, q in held) / len(held)
+    good, bad = [r.score for r, q in held if q == 1], [r.score for r, q in held if q == 0]
+    rank = sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+    assert right > 0.95 > max(len(good), len(bad)) / len(held) and rank > 0.98
+
+
+def test_stores(spark):
+    """s3a and s3n folders open as s3 with the session's settings, in tasks that have no session."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for key, value in (("fs.s3a.endpoint", "store.example:9000"), ("fs.s3a.access.key", "k"), ("fs.s3a.secret.key", "s"), ("fs.s3a.path.style.access", "true"), ("fs.s3a.connection.ssl.enabled", "false")):
+        conf.set(key, value)
+    try:
+        for scheme in ("s3a", "s3n", "s3"):
+            there = store(spark, f"{scheme}://bucket/a/b")
+            assert there.options == {"endpoint_override": "store.example:9000", "access_key": "k", "secret_key": "s", "scheme": "http"}
+            fs, path = cloudpickle.loads(cloudpickle.dumps(there)).open()
+            assert fs.type_name == "s3" and path == "bucket/a/b"
+    finally:
+        for key in ("fs.s3a.endpoint", "fs.s3a.access.key", "fs.s3a.secret.key", "fs.s3a.path.style.access", "fs.s3a.connection.ssl.enabled"):
+            conf.unset(key)
+    folder = shared_dir(spark)
+    there = store(spark, folder)
+    there.make()
+    there.put("x", b"one")
+    there.put("x", b"two")
+    assert there.get("x") == b"two" and store(spark, folder.removeprefix("file://")).get("x") == b"two"
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = ""
+
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,512]"):
+        Session.sparkContext.master = master
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(Session)
+
+
+def test_work_folders_go(spark, corpus):
+    """Operators leave their result behind, and nothing else."""
+    base = os.path.dirname(store(spark, shared_dir(spark)).open()[1])
+    docs = frame(spark, corpus)
+    for run in (minhash.near_duplicates, langid.identify, mixing.mix, privacy.find_personal, lambda d: decontam.decontaminate(d, spark.createDataFrame([(1, "w1 w2")], "item_id int, text string"))):
+        before = set(os.listdir(base)) if os.path.isdir(base) else set()
+        run(docs).count()
+        left = {x for x in os.listdir(base) if not x.startswith(".")} - before
+        assert len(left) == 1 and left.pop().endswith("-out")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docquill.llm import chat, vectors
@@ -27,9 +28,8 @@ def brute(rows, threshold=0.98):
     return sorted((i if i is not None else -1, links[k], least[part[k]] if i is not None else -1) for k, (i, *_) in enumerate(rows))
 
 
-def test_near_vectors(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "TILE", 40)
-    monkeypatch.setattr(vectors, "CELL", 30)
+@pytest.mark.parametrize(("cell", "tile"), [(30, 40), (10**6, 7), (20, 10**6)])
+def test_near_vectors(spark, cell, tile):
     rng = np.random.default_rng(5)
     rows, k = [], 0
     for label in (0, 1, None):
@@ -40,7 +40,7 @@ def test_near_vectors(spark, monkeypatch):
             k += 1
     rows += [(k + 1, None, 0), (k + 2, [0.0] * 16, 0), (k + 3, [float("nan"), 1.0], 0), (k + 4, [None, 1.0], 0), (k + 5, [], 0), (k + 6, [1.0, -0.0], 0), (k + 7, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (k + 7, [1.0, 0.0], 0), (k + 8, [float("inf"), 1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").withColumn("rep", F.lit(1)).withColumn("cell", F.lit("x"))
-    got = vectors.near_vectors(df).collect()
+    got = vectors.near_vectors(df, cell=cell, tile=tile).collect()
     assert sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id if r.component_id is not None else -1) for r in got) == brute(rows)
     assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
     assert vectors.near_vectors(df.limit(0)).count() == 0
@@ -51,11 +51,16 @@ def test_cells_lose_no_pair():
     x = rng.normal(size=(300, 12))
     x = np.vstack([x, x + rng.normal(size=x.shape) * 0.05])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    row, cell, home = vectors.cells_of(x, vectors.spherical_kmeans(x, 20), 0.98)
-    of = [set(cell[row == k]) for k in range(len(x))]
-    own = {r: c for r, c, h in zip(row, cell, home, strict=True) if h}
+    home, visits = vectors.cells_of(x, vectors.spherical_kmeans(x, 20), 0.98)
     i, j = np.nonzero(x @ x.T >= 0.98)
-    assert all(own[b] in of[a] for a, b in zip(i, j, strict=True))
+    assert all(home[a] == home[b] or visits[a, home[b]] or visits[b, home[a]] for a, b in zip(i, j, strict=True))
+
+
+def test_vectors_of_extreme_size(spark):
+    """Squares that overflow or vanish lose no link."""
+    rows = [(1, [1e200, 2e200], 0), (2, [1.0, 2.0], 0), (3, [1e-200, 2e-200], 0), (4, [2.0, -1.0], 0), (5, [5e-324, 1e-323], 0)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
 
 
 def test_chats(spark):
@@ -77,3 +82,15 @@ def test_chats(spark):
     states = {r.conv_id: (r.valid, r.bad_turn, r.n_turns) for r in out.collect()}
     assert states[1] == (True, None, 2) and states[2] == (False, 0, 1) and states[3] == (False, 3, 4)
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_chat_of_long_texts_and_clashing_names(spark):
+    long = "<|im_end|>\\n\n" * 50_000
+    rows = [(1, 0, "user", long, "x"), (1, 1, "assistant", long, "x"), (None, None, None, None, "x"), (2, 0, "assistant", "", "x")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, loss string")
+    for name in ("rows", "row", "segments", "end", "state", "ok", "valid", "n_turns", "turns", "formatted", "loss_text"):
+        df = df.withColumn(name, F.lit("clash"))
+    back = {r.conv_id: r for r in chat.read_chats(chat.format_chats(df)).collect()}
+    assert [(t.role, t.text) for t in back[1].turns] == [("user", long), ("assistant", long)] and back[1].loss_text == long
+    assert [(t.role, t.text) for t in back[None].turns] == [("", "")] and back[2].loss_text == ""
+    assert chat.read_chats(chat.format_chats(df.limit(0))).count() == 0
