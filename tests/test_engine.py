@@ -19,12 +19,12 @@ def db(spark, tmp_path):
 
 
 def test_documents(db):
-    assert db.insert("users", {"name": "Alice", "age": 30, "city": "NYC", "_id": 77}) == 1
-    assert db.insert_many("users", [{"name": "Bob", "age": 25}, {"name": "Eve", "address": {"zip": "1"}}]) == [2, 3]
-    assert db.get("users", 2) == {"_id": 2, "_version": 1, "name": "Bob", "age": 25}
-    assert db.find("users", {"age": {"$gt": 20}}, sort={"age": 1})[0]["name"] == "Bob"
-    assert db.count("users") == 3 and db.find_one("users", {"address.zip": "1"})["name"] == "Eve"
-    assert db.update("users", {"name": "Bob"}, {"$inc": {"age": 1}, "$set": {"tags": ["a"]}}) == 1
+    assert db.insert("users", {"name": "Vera", "age": 30, "city": "Riga", "_id": 77}) == 1
+    assert db.insert_many("users", [{"name": "Odo", "age": 25}, {"name": "Ute", "address": {"zip": "1"}}]) == [2, 3]
+    assert db.get("users", 2) == {"_id": 2, "_version": 1, "name": "Odo", "age": 25}
+    assert db.find("users", {"age": {"$gt": 20}}, sort={"age": 1})[0]["name"] == "Odo"
+    assert db.count("users") == 3 and db.find_one("users", {"address.zip": "1"})["name"] == "Ute"
+    assert db.update("users", {"name": "Odo"}, {"$inc": {"age": 1}, "$set": {"tags": ["a"]}}) == 1
     assert db.get("users", 2)["_version"] == 2 and db.get("users", 2)["tags"] == ["a"]
     assert db.update_one("users", {}, {"$set": {"seen": True}}) == 1 and db.get("users", 1)["seen"] is True
     assert db.delete_one("users", {}) == 1 and db.delete("users", {"name": "nobody"}) == 0
