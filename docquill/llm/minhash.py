@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 named = named.unionByName(rare.join(open_keys, "key").withColumn("exact", F.lit(False)))
         ranked = named.drop("c").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")))
         ranked = saved(ranked, f"{work}/ranked-{step}")
-        top = done + (1 << 2 * step)
+        top = done + (1 << 3 * step)  # few rounds: each is a score of jobs
         # a bucket's largest component can hold most of it: its rows meet only centres of the others
         main = ranked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
         ranked = saved(ranked.join(main, "key").withColumn("main", F.col("component") == F.col("main")), f"{work}/split-{step}")

@@ -4,7 +4,6 @@ import math
 import os
 import random
 import re
-import shutil
 import zlib
 from collections import Counter
 
