@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,17 +57,18 @@ def text_search(df: DataFrame, fields: Sequence[str], query: str, limit: int = 1
     terms = _query_terms(df, query)
     found = [f"_n{i}" for i in range(len(terms))]
     inside = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
-    cut = df.select(*key, inside.alias("_in"), tokens(searchable(df, fields)).alias("_tokens")).where(F.size("_tokens") > 0)
+    cut = df.select(*key, inside.alias("_in"), tokens(searchable(df, fields)).alias("_tokens"))
     counts = cut.select(*key, "_in", F.size("_tokens").alias("_len"), F.filter("_tokens", lambda t: t.isin(list(terms))).alias("_own"))
     counts = counts.select(*key, "_in", "_len", *((F.size("_own") - F.size(F.array_remove("_own", t))).alias(c) for c, t in zip(found, terms, strict=True)))
     counts = counts.repartition(*key)
-    sums = counts.agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col(c) > 0).cast("bigint")).alias(c) for c in found))
-    sums = sums.select(F.struct("*")).scalar()
+    # both readers of the exchange take all its columns, and filter only above it, so it runs once
+    each = [F.count(F.when(F.col(c) > 0, 1)).alias(f"_df{c}") for c in found]
+    sums = counts.agg(F.count(F.when(F.col("_len") > 0, 1)).alias("_rows"), F.count(F.struct(*key, "_in")).alias("_every"), *each)  # one row
     score = F.lit(0.0)
     for c, times in zip(found, terms.values(), strict=True):
-        score = score + F.when(F.col(c) > 0, _weighted(F.col(c), F.col("_len"), sums["n"], sums[c], times)).otherwise(0.0)
-    hits = counts.where(F.col("_in") & reduce(lambda a, b: a | b, (F.col(c) > 0 for c in found), F.lit(False)))
-    best = hits.select(*key, score.alias("_score")).orderBy(F.col("_score").desc(), *key).limit(limit)
+        score = score + F.when(F.col(c) > 0, _weighted(F.col(c), F.col("_len"), F.col("_rows"), F.col(f"_df{c}"), times)).otherwise(0.0)
+    scored = counts.join(F.broadcast(sums), F.col("_every") > 0).select(*key, F.when(F.col("_in"), score).otherwise(0.0).alias("_score"))
+    best = scored.where("_score > 0").orderBy(F.col("_score").desc(), *key).limit(limit)
     return df.join(F.broadcast(best), list(key)).orderBy(F.col("_score").desc(), *key)  # best has limit rows
 
 
