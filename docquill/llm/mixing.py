@@ -6,20 +6,27 @@ decided by a hash of its id, so no row depends on another and repeated runs agre
 
 No document is taken twice, so probabilities end at 1. Where scaled weights pass 1, raking goes on with that
 bound, and the kept share falls to the largest one for which the sample's expected totals still meet all targets.
+
+Few cells are raked on the driver, many as Spark joins. Both do the same steps in the same double arithmetic, and
+sums don't depend on the order of their terms, so the results are equal to the last bit.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from math import frexp
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquill.llm.common import result, saved, shared_dir
+from docquill.llm.common import remove, result, saved, shared_dir
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.8}  # targets where none are given: shares to this power
 KEEP, ROUNDS, CLOSE, DRIVER_CELLS, BROADCAST_CELLS = 0.8, 100, 1e-9, 100_000, 50_000
-NEAR, MOST, STEPS, FRAME_STEPS = 1e-6, 1e12, 20, 4
+NEAR, MOST, STEPS = 1e-6, 1e12, 20
+DIGIT, DIGITS = float(1 << 30), 3  # sums are exact down to 2**-90 of their unit
 
 # the first rule that holds names the topic
 TOPICS = (
@@ -37,24 +44,65 @@ def topic_of(text: Column) -> Column:
     return F.when(F.length(F.trim(text)) == 0, "empty").otherwise(out)
 
 
+def exact_sums(at: np.ndarray, x: np.ndarray, n: int, unit: float = 1.0) -> np.ndarray:
+    """Sums by index of terms from 0 to unit (a power of two): whole numbers are added, so any order gives the same bits."""
+    rest, digits = x / unit, []
+    for _ in range(DIGITS):
+        rest = rest * DIGIT
+        whole = np.floor(rest)
+        digits.append(np.zeros(n, np.int64))
+        np.add.at(digits[-1], at, whole.astype(np.int64))
+        rest = rest - whole
+    return reduce(lambda low, digit: (low + digit.astype(np.float64)) / DIGIT, reversed(digits), np.zeros(n)) * unit
+
+
+def exact_sum(x: Column, unit: float = 1.0) -> Column:
+    """exact_sums() as an aggregate."""
+    rest, digits = x / F.lit(unit), []
+    for _ in range(DIGITS):
+        rest = rest * F.lit(DIGIT)
+        digits.append(F.sum(F.floor(rest)).cast("double"))
+        rest = rest % F.lit(1.0)
+    return reduce(lambda low, digit: (low + digit) / F.lit(DIGIT), reversed(digits), F.lit(0.0)) * F.lit(unit)
+
+
+def unit_of(total: float) -> float:
+    """A power of two above total."""
+    return 2.0 ** frexp(total)[1]
+
+
+def share_of(given: float | None) -> float:
+    return max(0.0, float(given or 0.0))
+
+
 def targets_of(totals: dict[str, float], given: dict[str, float] | None, power: float) -> dict[str, float]:
     """Shares that sum to 1 over the values that occur; given values that don't occur count for nothing."""
     if given is None:
         shares = {k: v**power for k, v in totals.items()}
     else:
-        shares = {k: max(0.0, float(given.get(k, 0.0))) for k in totals}
-    whole = sum(shares.values())
-    return {k: v / whole for k, v in shares.items()} if whole else {k: 1 / len(shares) for k in shares}
+        shares = {k: share_of(given.get(k)) for k in totals}
+    most = max(shares.values(), default=0.0)
+    if not most:
+        return {k: 1 / len(shares) for k in shares}
+    whole = float(exact_sums(np.zeros(len(shares), np.int64), np.array(list(shares.values())) / most, 1)[0])
+    return {k: v / most / whole for k, v in shares.items()}
+
+
+def tempered(spark: SparkSession, totals: dict[str, float], power: float) -> dict[str, float]:
+    """Totals to a power, as Spark has it: its last bit can differ from Python's."""
+    rows = spark.createDataFrame(list(enumerate(totals.values())), "k long, t double").select("k", F.pow("t", F.lit(power)).alias("share")).collect()
+    shares = {r["k"]: r["share"] for r in rows}
+    return {v: shares[k] for k, v in enumerate(totals)}
 
 
 def rake(tokens: np.ndarray, index: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, close: float = CLOSE) -> np.ndarray:
     """Weights w for which the sums of tokens * w by each index meet its targets (shares of 1)."""
-    w = np.full(len(tokens), 1 / max(tokens.sum(), 1e-300))
+    w = np.full(len(tokens), 1 / max(tokens.sum(), 1.0))
     for _ in range(rounds):
         worst = 0.0
         for at, target in zip(index, targets, strict=True):
-            sums = np.bincount(at, tokens * w, len(target))
-            factor = np.where(sums > 0, target / np.where(sums > 0, sums, 1), 1)
+            sums = exact_sums(at, tokens * w, len(target))
+            factor = np.divide(target, sums, out=np.ones_like(target), where=sums > 0)
             worst = max(worst, float(np.abs(factor[sums > 0] - 1).max(initial=0)))
             w = w * factor[at]
         if worst < close:
@@ -62,21 +110,22 @@ def rake(tokens: np.ndarray, index: list[np.ndarray], targets: list[np.ndarray],
     return w
 
 
-def bounded(tokens: np.ndarray, index: list[np.ndarray], goals: list[np.ndarray], q: np.ndarray, rounds: int = ROUNDS, near: float = NEAR) -> np.ndarray | None:
-    """q by a factor for each value of each dimension, so that sums of tokens * min(1, q) meet the goals; None where they don't.
+def bounded(tokens: np.ndarray, index: list[np.ndarray], targets: list[np.ndarray], goal: float, q: np.ndarray, rounds: int = ROUNDS, near: float = NEAR) -> np.ndarray | None:
+    """q by a factor for each value of each dimension, so that sums of tokens * min(1, q) meet goal times the targets; None where they don't.
 
     A group's sum is concave in its factor, so Newton's step from below and proportion from above never pass the goal.
     """
+    unit = unit_of(tokens.sum())
     for _ in range(rounds):
         worst = 0.0
-        for at, goal in zip(index, goals, strict=True):
-            sums = np.bincount(at, tokens * np.minimum(1, q), len(goal))
-            slope = np.bincount(at, tokens * np.where(q < 1, q, 0), len(goal))
-            gap = goal - sums
+        for at, target in zip(index, targets, strict=True):
+            sums = exact_sums(at, tokens * np.minimum(1, q), len(target), unit)
+            slope = exact_sums(at, tokens * np.where(q < 1, q, 0), len(target), unit)
+            gap = target * goal - sums
             worst = max(worst, float(np.abs(gap).max(initial=0)))
             up = 1 + np.divide(gap, slope, out=np.zeros_like(gap), where=slope > 0)
-            q = np.minimum(q * np.where(gap > 0, up, np.divide(goal, sums, out=np.ones_like(goal), where=sums > 0))[at], MOST)
-        if worst < near * goals[0].sum():
+            q = np.minimum(q * np.where(gap > 0, up, np.divide(target * goal, sums, out=np.ones_like(gap), where=sums > 0))[at], MOST)
+        if worst < near * goal:
             return q
     return None
 
@@ -96,39 +145,45 @@ def largest(low: float, high: float, attempt, steps: int):
     return best
 
 
-def _raked_frame(cells: DataFrame, targets: dict[str, DataFrame], work: str, rounds: int, close: float) -> DataFrame:
+def _largest(tables: list[DataFrame], column: str) -> float:
+    return reduce(DataFrame.union, (t.select(column) for t in tables)).agg(F.max(column)).first()[0] or 0.0
+
+
+def _raked_frame(cells: DataFrame, targets: dict[str, DataFrame], total: float, work: str, rounds: int, close: float) -> DataFrame:
     """rake() over more cells than a driver should hold: each step is a grouped sum and a join."""
-    now = cells.withColumn("w", F.lit(1.0))
+    now = cells.withColumn("w", F.lit(1 / max(total, 1.0)))
     for r in range(rounds):
-        worst = 0.0
+        steps = []
         for d, target in targets.items():
-            sums = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("w")).alias("s")).join(target, d)
-            factor = saved(sums.select(d, F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(1.0).alias("f"), (F.col("s") > 0).alias("on")), f"{work}/f-{r}-{d}")
-            worst = max(worst, factor.agg(F.max(F.when(F.col("on"), F.abs(F.col("f") - 1)).otherwise(0.0))).first()[0] or 0.0)
-            now = now.join(factor.select(d, "f"), d).withColumn("w", F.col("w") * F.col("f")).drop("f")
-        now = saved(now, f"{work}/round-{r}")
-        if worst < close:
+            sums = now.groupBy(d).agg(exact_sum(F.col("tokens") * F.col("w")).alias("s")).join(target, d)
+            factor = F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(1.0)
+            steps.append(saved(sums.select(d, factor.alias("f"), F.when(F.col("s") > 0, F.abs(factor - 1)).otherwise(0.0).alias("off")), f"{work}/{r}/f-{d}"))
+            now = now.join(steps[-1].select(d, "f"), d).withColumn("w", F.col("w") * F.col("f")).drop("f")
+        now = saved(now, f"{work}/{r}/cells")
+        remove(cells.sparkSession, f"{work}/{r - 1}")
+        if _largest(steps, "off") < close:
             break
     return now
 
 
-def _bounded_frame(cells: DataFrame, targets: dict[str, DataFrame], goal: float, work: str, rounds: int, near: float) -> DataFrame | None:
+def _bounded_frame(cells: DataFrame, targets: dict[str, DataFrame], total: float, goal: float, work: str, rounds: int, near: float) -> DataFrame | None:
     """bounded() over more cells than a driver should hold; cells have a column q."""
-    q, now = F.col("q"), cells
+    q, now, unit = F.col("q"), cells, unit_of(total)
     for r in range(rounds):
-        worst = 0.0
+        steps = []
         for d, target in targets.items():
             sums = now.groupBy(d).agg(
-                F.sum(F.col("tokens") * F.least(F.lit(1.0), q)).alias("s"), F.sum(F.col("tokens") * F.when(q < 1, q).otherwise(0.0)).alias("slope")
+                exact_sum(F.col("tokens") * F.least(F.lit(1.0), q), unit).alias("s"), exact_sum(F.col("tokens") * F.when(q < 1, q).otherwise(0.0), unit).alias("slope")
             ).join(target, d).withColumn("gap", F.col("target") * goal - F.col("s"))
             up = F.when(F.col("slope") > 0, 1 + F.col("gap") / F.col("slope")).otherwise(1.0)
             factor = F.when(F.col("gap") > 0, up).when(F.col("s") > 0, F.col("target") * goal / F.col("s")).otherwise(1.0)
-            sums = saved(sums.select(d, "gap", factor.alias("f")), f"{work}/f-{r}-{d}")
-            worst = max(worst, sums.agg(F.max(F.abs("gap"))).first()[0] or 0.0)
-            now = now.join(sums.select(d, "f"), d).withColumn("q", F.least(q * F.col("f"), F.lit(MOST))).drop("f")
-        now = saved(now, f"{work}/round-{r}")
-        if worst < near * goal:
+            steps.append(saved(sums.select(d, F.abs("gap").alias("off"), factor.alias("f")), f"{work}/{r}/f-{d}"))
+            now = now.join(steps[-1].select(d, "f"), d).withColumn("q", F.least(q * F.col("f"), F.lit(MOST))).drop("f")
+        now = saved(now, f"{work}/{r}/cells")
+        remove(cells.sparkSession, f"{work}/{r - 1}")
+        if _largest(steps, "off") < near * goal:
             return now
+    remove(cells.sparkSession, work)
     return None
 
 
@@ -166,18 +221,19 @@ def mix(
         index, goals = [], []
         for d in DIMENSIONS:
             totals = table.groupby(d)["tokens"].sum().to_dict()
-            shares = targets_of(totals, given.get(d), TEMPER[d])
+            own = given.get(d)
+            shares = targets_of(totals, tempered(spark, totals, TEMPER[d]) if own is None else own, 1.0)
             values = sorted(shares)
             index.append(table[d].map({v: k for k, v in enumerate(values)}).to_numpy(np.int64))
             goals.append(np.array([shares[v] for v in values]))
-        w, total = rake(tokens, index, goals), tokens.sum()
+        w, total = rake(tokens, index, goals, ROUNDS, CLOSE), float(tokens.sum())
         top = w[tokens > 0].max(initial=0) * total
         limit = keep if total else 0.0
         for at, goal in zip(index, goals, strict=True):
             limit = min(limit, (np.bincount(at, tokens)[goal > 0] / goal[goal > 0]).min() / total) if total else 0.0
         share, q = min(limit, 1 / top if top else 0.0), None
         if share < limit:
-            share, q = largest(share, limit, lambda k: bounded(tokens, index, [t * k * total for t in goals], k * total * w), STEPS)
+            share, q = largest(share, limit, lambda k: bounded(tokens, index, goals, k * total, k * total * w, ROUNDS, NEAR), STEPS)
         table["prob"] = np.minimum(1.0, share * total * w if q is None else q)
         table["weight"] = w if q is None else table["prob"] / (share * total)
         weighted = spark.createDataFrame(
@@ -187,17 +243,19 @@ def mix(
     else:
         frames = {}
         for d in DIMENSIONS:
-            sums = cells.groupBy(d).agg(F.sum("tokens").alias("t"))
-            if d in given:
-                own = spark.createDataFrame([(k, float(v)) for k, v in given[d].items()], f"{d} string, share double")
-                sums = sums.join(own, d, "left").withColumn("share", F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(0.0)))
-            else:
+            sums, own = cells.groupBy(d).agg(F.sum("tokens").alias("t")), given.get(d)
+            if own is None:
                 sums = sums.withColumn("share", F.pow("t", F.lit(TEMPER[d])))
+            else:
+                own = spark.createDataFrame([(k, share_of(v)) for k, v in own.items() if isinstance(k, str)], f"{d} string, share double")
+                sums = sums.join(own, d, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
             sums = saved(sums, f"{work}/target-{d}")
-            whole, n = sums.agg(F.sum("share"), F.count(F.lit(1))).first()
-            frames[d] = sums.select(d, (F.col("share") / whole if whole else F.lit(1 / n)).alias("target"))
-        raked = _raked_frame(cells, frames, work, ROUNDS, CLOSE)
-        total, top = cells.agg(F.sum("tokens")).first()[0] or 0.0, raked.where("tokens > 0").agg(F.max("w")).first()[0] or 0.0
+            most, n = sums.agg(F.max("share"), F.count(F.lit(1))).first()
+            whole = sums.agg(exact_sum(F.col("share") / most)).first()[0] if most else None
+            frames[d] = saved(sums.select(d, (F.col("share") / most / whole if most else F.lit(1 / n)).alias("target")), f"{work}/goal-{d}")
+        total = cells.agg(F.sum("tokens")).first()[0] or 0.0
+        raked = _raked_frame(cells, frames, total, f"{work}/raked", ROUNDS, CLOSE)
+        top = raked.where("tokens > 0").agg(F.max("w")).first()[0] or 0.0
         limit = keep if total else 0.0
         for d, target in frames.items():
             own = cells.groupBy(d).agg(F.sum("tokens").alias("t")).join(target, d).where("target > 0")
@@ -206,9 +264,9 @@ def mix(
         if share < limit:
 
             def attempt(k: float) -> DataFrame | None:
-                return _bounded_frame(raked.withColumn("q", F.col("w") * (k * total)), frames, k * total, f"{work}/bounded-{k}", ROUNDS, NEAR)
+                return _bounded_frame(raked.withColumn("q", F.col("w") * (k * total)), frames, total, k * total, f"{work}/bounded-{k}", ROUNDS, NEAR)
 
-            share, found = largest(share, limit, attempt, FRAME_STEPS)
+            share, found = largest(share, limit, attempt, STEPS)
         prob = F.least(F.lit(1.0), F.col("w") * (share * total) if found is None else F.col("q"))
         weight = F.col("w") if found is None else prob / (share * total)
         weighted = (raked if found is None else found).select(*DIMENSIONS, weight.alias("weight"), prob.alias("prob"))

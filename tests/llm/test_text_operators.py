@@ -549,6 +549,30 @@ def test_mixing_meets_targets_in_the_sample(spark, driver_cells):
     assert mixing.mix(frame(spark, [(1, "", "en", "a", 0), (2, None, "fr", "b", 0)]), driver_cells=driver_cells).where("prob <> 0").count() == 0
 
 
+@pytest.mark.parametrize(("cells", "targets"), [
+    ({("a", "en"): (10, 10), ("a", "fr"): (90, 10), ("b", "en"): (90, 10), ("b", "fr"): (10, 10)}, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.6, "fr": 0.4}, "topic": None}),
+    ({("a", "en"): (30, 7), ("a", "fr"): (20, 5), ("b", "en"): (50, 3), ("empty", "en"): (40, 0), ("b", "de"): (3, 11)}, None),
+])
+def test_mixing_is_the_same_on_the_driver_and_in_joins(spark, monkeypatch, cells, targets):
+    """Targets of which only a smaller share can be kept, and a source without tokens: few rounds, every bit of every row equal."""
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
+    monkeypatch.setattr(mixing, "NEAR", 0.05)
+    monkeypatch.setattr(mixing, "STEPS", 6)
+    kinds = [(s, v, size) for (s, v), (n, size) in cells.items() for _ in range(n)]
+    docs = frame(spark, [(k, "tok " * size, v, s, 0) for k, (s, v, size) in enumerate(kinds)])
+    here, there = (sorted(mixing.mix(docs, targets=targets, driver_cells=n).collect()) for n in (mixing.DRIVER_CELLS, 0))
+    assert len(here) == len(kinds) and here == there
+
+
+def test_sums_do_not_depend_on_order(spark):
+    rng = random.Random(8)
+    x = [rng.random() * 2.0 ** rng.randrange(-60, 1) for _ in range(1000)]
+    unit = mixing.unit_of(sum(x))
+    sums = lambda v: float(mixing.exact_sums(np.zeros(len(v), np.int64), np.array(v), 1, unit)[0])
+    assert sums(x) == sums(x[::-1]) == sums(sorted(x)) == pytest.approx(math.fsum(x), rel=1e-15)
+    assert spark.createDataFrame([(v,) for v in x], "x double").repartition(3).agg(mixing.exact_sum(F.col("x"), unit)).first()[0] == sums(x)
+
+
 SF = "/root/testdata/sf0.001"
 
 
