@@ -25,7 +25,7 @@ from docquill.llm.common import remove, result, saved, shared_dir
 DIMENSIONS = ("source", "lang", "topic")
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.8}  # targets where none are given: shares to this power
 KEEP, ROUNDS, CLOSE, DRIVER_CELLS, BROADCAST_CELLS = 0.8, 100, 1e-9, 100_000, 50_000
-NEAR, MOST, STEPS = 1e-6, 1e12, 20
+NEAR, MOST, STEPS, AHEAD = 1e-6, 1e12, 20, 4
 DIGIT, DIGITS = float(1 << 30), 3  # sums are exact down to 2**-90 of their unit
 
 # the first rule that holds names the topic
@@ -130,25 +130,33 @@ def bounded(tokens: np.ndarray, index: list[np.ndarray], targets: list[np.ndarra
     return None
 
 
-def largest(low: float, high: float, attempt, steps: int):
-    """(share, attempt's result) of the largest share in [low, high] found for which attempt gives one; (low, None) without."""
-    best, at = (low, None), high
-    for _ in range(steps):
-        got = attempt(at)
-        if got is None:
+def _halves(low: float, high: float, levels: int) -> list[float]:
+    """What bisection can ask for in its next steps, whatever it finds."""
+    if not levels:
+        return []
+    at = (low + high) / 2
+    return [at, *_halves(low, at, levels - 1), *_halves(at, high, levels - 1)]
+
+
+def largest(low: float, high: float, attempt, steps: int, ahead: int = 1):
+    """(share, attempt's result) of the largest share in [low, high] found for which attempt gives one; (low, None) without.
+
+    attempt gets all shares that the next ``ahead`` steps can ask for, and gives a result, or None, for each.
+    """
+    best, at, known = (low, None), high, {}
+    for step in range(steps):
+        if at not in known:
+            known = attempt(list(dict.fromkeys(_halves(best[0], high, min(ahead, steps - step)))) if step else [at])
+        if known[at] is None:
             high = at
         else:
-            best = (at, got)
+            best = (at, known[at])
         if best[0] == high:
             break
         at = (best[0] + high) / 2
     return best
 
 
-def _largest(tables: list[DataFrame], column: str) -> float:
-    return reduce(DataFrame.union, (t.select(column) for t in tables)).agg(F.max(column)).first()[0] or 0.0
-
-
 def _raked_frame(cells: DataFrame, targets: dict[str, DataFrame], total: float, work: str, rounds: int, close: float) -> DataFrame:
     """rake() over more cells than a driver should hold: each step is a grouped sum and a join."""
     now = cells.withColumn("w", F.lit(1 / max(total, 1.0)))
@@ -161,30 +169,41 @@ def _raked_frame(cells: DataFrame, targets: dict[str, DataFrame], total: float,
             now = now.join(steps[-1].select(d, "f"), d).withColumn("w", F.col("w") * F.col("f")).drop("f")
         now = saved(now, f"{work}/{r}/cells")
         remove(cells.sparkSession, f"{work}/{r - 1}")
-        if _largest(steps, "off") < close:
+        if reduce(DataFrame.union, (t.select("off") for t in steps)).agg(F.max("off")).first()[0] < close:
             break
     return now
 
 
-def _bounded_frame(cells: DataFrame, targets: dict[str, DataFrame], total: float, goal: float, work: str, rounds: int, near: float) -> DataFrame | None:
-    """bounded() over more cells than a driver should hold; cells have a column q."""
-    q, now, unit = F.col("q"), cells, unit_of(total)
+def _bounded_frame(
+    cells: DataFrame, targets: dict[str, DataFrame], total: float, shares: list[float], work: str, rounds: int, near: float
+) -> dict[float, DataFrame | None]:
+    """bounded() over more cells than a driver should hold, for several shares of total at once; cells have a column w."""
+    spark, q, unit = cells.sparkSession, F.col("q"), unit_of(total)
+    goals, found = [k * total for k in shares], dict.fromkeys(shares)
+    tried = spark.createDataFrame(list(enumerate(goals)), "k int, goal double")
+    now = cells.crossJoin(F.broadcast(tried)).withColumn("q", F.col("w") * F.col("goal"))
     for r in range(rounds):
         steps = []
         for d, target in targets.items():
-            sums = now.groupBy(d).agg(
+            sums = now.groupBy("k", "goal", d).agg(
                 exact_sum(F.col("tokens") * F.least(F.lit(1.0), q), unit).alias("s"), exact_sum(F.col("tokens") * F.when(q < 1, q).otherwise(0.0), unit).alias("slope")
-            ).join(target, d).withColumn("gap", F.col("target") * goal - F.col("s"))
+            ).join(target, d).withColumn("gap", F.col("target") * F.col("goal") - F.col("s"))
             up = F.when(F.col("slope") > 0, 1 + F.col("gap") / F.col("slope")).otherwise(1.0)
-            factor = F.when(F.col("gap") > 0, up).when(F.col("s") > 0, F.col("target") * goal / F.col("s")).otherwise(1.0)
-            steps.append(saved(sums.select(d, F.abs("gap").alias("off"), factor.alias("f")), f"{work}/{r}/f-{d}"))
-            now = now.join(steps[-1].select(d, "f"), d).withColumn("q", F.least(q * F.col("f"), F.lit(MOST))).drop("f")
+            factor = F.when(F.col("gap") > 0, up).when(F.col("s") > 0, F.col("target") * F.col("goal") / F.col("s")).otherwise(1.0)
+            steps.append(saved(sums.select("k", d, F.abs("gap").alias("off"), factor.alias("f")), f"{work}/{r}/f-{d}"))
+            now = now.join(steps[-1].select("k", d, "f"), ["k", d]).withColumn("q", F.least(q * F.col("f"), F.lit(MOST))).drop("f")
         now = saved(now, f"{work}/{r}/cells")
-        remove(cells.sparkSession, f"{work}/{r - 1}")
-        if _largest(steps, "off") < near * goal:
-            return now
-    remove(cells.sparkSession, work)
-    return None
+        remove(spark, f"{work}/{r - 1}")
+        off = reduce(DataFrame.union, (t.select("k", "off") for t in steps)).groupBy("k").agg(F.max("off")).collect()
+        met = [k for k, worst in off if worst < near * goals[k]]
+        for k in met:
+            found[shares[k]] = saved(now.where(F.col("k") == k), f"{work}/met-{k}")
+        if len(met) == len(off):
+            break
+        if met:
+            now = now.where(~F.col("k").isin(met))
+    remove(spark, f"{work}/{r}")
+    return found
 
 
 def mix(
@@ -233,7 +252,7 @@ def mix(
             limit = min(limit, (np.bincount(at, tokens)[goal > 0] / goal[goal > 0]).min() / total) if total else 0.0
         share, q = min(limit, 1 / top if top else 0.0), None
         if share < limit:
-            share, q = largest(share, limit, lambda k: bounded(tokens, index, goals, k * total, k * total * w, ROUNDS, NEAR), STEPS)
+            share, q = largest(share, limit, lambda ks: {k: bounded(tokens, index, goals, k * total, k * total * w, ROUNDS, NEAR) for k in ks}, STEPS)
         table["prob"] = np.minimum(1.0, share * total * w if q is None else q)
         table["weight"] = w if q is None else table["prob"] / (share * total)
         weighted = spark.createDataFrame(
@@ -263,10 +282,10 @@ def mix(
         share, found = min(limit, 1 / (top * total) if top and total else 0.0), None
         if share < limit:
 
-            def attempt(k: float) -> DataFrame | None:
-                return _bounded_frame(raked.withColumn("q", F.col("w") * (k * total)), frames, total, k * total, f"{work}/bounded-{k}", ROUNDS, NEAR)
+            def attempt(ks: list[float]) -> dict[float, DataFrame | None]:
+                return _bounded_frame(raked, frames, total, ks, f"{work}/bounded-{ks[0]}", ROUNDS, NEAR)
 
-            share, found = largest(share, limit, attempt, STEPS)
+            share, found = largest(share, limit, attempt, STEPS, AHEAD)
         prob = F.least(F.lit(1.0), F.col("w") * (share * total) if found is None else F.col("q"))
         weight = F.col("w") if found is None else prob / (share * total)
         weighted = (raked if found is None else found).select(*DIMENSIONS, weight.alias("weight"), prob.alias("prob"))
