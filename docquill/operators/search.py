@@ -36,6 +36,20 @@ def text_index(df: DataFrame, fields: Sequence[str], key: Sequence[str]) -> Data
     return rows.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
+def row_postings(df: DataFrame, fields: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """text_index() of rows whose keys differ: each row's words are sorted and counted where it lies, so nothing is exchanged."""
+
+    def counted(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        run = lambda at: F.transform(at, lambda i, k: F.struct(F.get(words, i).alias("term"), (F.coalesce(F.get(at, k + 1), n) - i).cast("bigint").alias("tf"), n.alias("doc_len")))
+        return F.when(n > 0, F.get(F.transform(F.array(starts), run), F.lit(0)))
+
+    # a lambda's variable holds what is computed once for all of its uses
+    found = F.get(F.transform(F.array(F.sort_array(tokens(searchable(df, fields)))), counted), F.lit(0))
+    return df.select(*key, F.explode(found).alias("_p")).select(*key, "_p.term", "_p.tf", "_p.doc_len")
+
+
 def _query_terms(df: DataFrame, query: str) -> dict[str, int]:
     one = df.sparkSession.range(1).select(tokens(F.lit(query)).alias("t")).first().t
     return {t: one.count(t) for t in one}
@@ -72,8 +86,8 @@ def text_search(df: DataFrame, fields: Sequence[str], query: str, limit: int = 1
     return df.join(F.broadcast(best), list(key)).orderBy(F.col("_score").desc(), *key)  # best has limit rows
 
 
-def search_index(index: DataFrame, n: int, query: str, limit: int = 10, key: Sequence[str] = ("_id",)) -> DataFrame:
-    """text_search over stored postings (key..., term, tf, doc_len) of n rows: (key..., _score)."""
+def search_index(index: DataFrame, n: int, query: str, limit: int | None = 10, key: Sequence[str] = ("_id",)) -> DataFrame:
+    """text_search over stored postings (key..., term, tf, doc_len) of n rows: (key..., _score); without a limit all, in no order."""
     terms = _query_terms(index, query)
     hits = index.where(F.col("term").isin(list(terms)))
     df_counts = {r.term: r.df for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row per query term
@@ -82,6 +96,8 @@ def search_index(index: DataFrame, n: int, query: str, limit: int = 10, key: Seq
         if t in df_counts:
             score = F.when(F.col("term") == t, _weighted(F.col("tf"), F.col("doc_len"), F.lit(n), F.lit(df_counts[t]), times)).otherwise(score)
     scores = hits.groupBy(*key).agg(F.sum(score).alias("_score"))
+    if limit is None:
+        return scores
     return scores.orderBy(F.col("_score").desc(), *key).limit(limit)
 
 

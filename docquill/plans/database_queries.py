@@ -285,8 +285,8 @@ def _text_search(spark: SparkSession, d: str, db: Engine) -> DataFrame:
     db.update("documents", {"lang": "de"}, {"$set": {"text": "tion under erin"}})
     db.delete("documents", {"lang": "es"})
     db.insert("documents", {"doc_id": -1, "text": "hand tion"})
-    rows = [(r["doc_id"], round(r["_score"], 9)) for r in db.text_search("documents", "Tion, hand THE tion erin", 10**6)]
-    return spark.createDataFrame(rows, "k bigint, score double")
+    rows = db.text_search_df("documents", "Tion, hand THE tion erin").select(F.col("doc_id").alias("k"), F.round("_score", 9).alias("score"))
+    return rows.orderBy(F.desc("score"), F.asc_nulls_last("k"))
 
 
 @_with("embeddings")

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from docquill.errors import DocquillError, TransactionConflict, UniqueViolation
 from docquill.functions import values
 from docquill.operators.filters import compile_filter
-from docquill.operators.search import cell_index, text_index, train_cells
+from docquill.operators.search import cell_index, row_postings, train_cells
 from docquill.operators.updates import apply_update, touched_by
 
 CHANGES = "token bigint, operation string, collection string, doc_id bigint, document string, tx_id string"
@@ -221,7 +221,7 @@ def numbered(df: DataFrame, name: str, first: int, folder: str) -> DataFrame:
     The rows are written once with Spark's own row ids, so that numbers don't change when a task is repeated;
     the count of each partition then gives the gaps to close.
     """
-    df.withColumn("_at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(folder)
+    save(df.withColumn("_at", F.monotonically_increasing_id()), folder)
     rows = df.sparkSession.read.parquet(folder)
     part = F.shiftright("_at", 33).alias("_part")
     sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
@@ -231,6 +231,11 @@ def numbered(df: DataFrame, name: str, first: int, folder: str) -> DataFrame:
     return out.withColumn(name, F.lit(first) + F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
 
 
+def save(df: DataFrame, folder: str) -> None:
+    """Texts and postings are what takes most of the disk, several versions of them; zstd makes them smaller than Spark's default."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+
+
 def _json_row(df: DataFrame) -> Column:
     return F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))
 
@@ -263,7 +268,7 @@ class Draft:
     def _write(self, rows: DataFrame) -> str:
         """A new data folder, with its postings where there is a text index."""
         folder = self._new("d")
-        rows.write.mode("overwrite").parquet(self._path(folder))
+        save(rows, self._path(folder))
         self._index(folder, rows.schema)
         for index in self.m.indexes:
             if index["index_type"] == "vector":
@@ -276,9 +281,8 @@ class Draft:
             return
         rows = self.spark.read.schema(schema).parquet(self._path(folder))
         name = self._new("p")
-        # ranges of terms, each in order, so that a search reads few row groups
-        found = text_index(rows, index["fields"], ["_id"]).select("term", "_id", "tf", F.col("doc_len").cast("int").alias("doc_len"))
-        found.repartitionByRange("term", "_id").sortWithinPartitions("term").write.mode("overwrite").parquet(self._path(name))
+        # each file in order of terms, so that a search reads few pages of it
+        save(row_postings(rows, index["fields"], ["_id"]).select("term", "_id", "tf", "doc_len").sortWithinPartitions("term"), self._path(name))
         n = self.spark.read.schema(POSTINGS).parquet(self._path(name)).agg(F.count_distinct("_id")).first()[0]
         self.m = replace(self.m, postings={**self.m.postings, folder: [name, n]})
 
@@ -289,7 +293,7 @@ class Draft:
         rows = self.spark.read.schema(schema).parquet(self._path(folder))
         name = self._new("v")
         found = cell_index(rows, index["fields"][0], index["dimension"], index["metric"], index["centres"])
-        found.repartitionByRange("cell", "_id").sortWithinPartitions("cell").write.mode("overwrite").parquet(self._path(name))
+        save(found.repartitionByRange("cell", "_id").sortWithinPartitions("cell"), self._path(name))
         radius = self.spark.read.schema(CELLS).parquet(self._path(name)).groupBy("cell").agg(F.max("away").alias("r")).collect()  # a row per cell
         own = {**self.m.vectors.get(index["name"], {}), folder: [name, {str(r.cell): r.r for r in radius}]}
         self.m = replace(self.m, vectors={**self.m.vectors, index["name"]: own})
@@ -313,7 +317,7 @@ class Draft:
         folder = self._new("c")
         events = rows if ready else numbered(rows, "token", self.m.token + 1, self._path(f".t-{folder}"))
         events = events.select("token", F.lit(operation).alias("operation"), F.lit(self.own.name).alias("collection"), "doc_id", "document", F.lit(self.tx_id).cast("string").alias("tx_id"))
-        events.write.mode("overwrite").parquet(self._path(f".{folder}"))
+        save(events, self._path(f".{folder}"))
         self.own.files.remove(f".t-{folder}")
         n = self.spark.read.schema(CHANGES).parquet(self._path(f".{folder}")).count()
         self.m = replace(self.m, token=self.m.token + n, changes=(*self.m.changes, folder))

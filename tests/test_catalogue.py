@@ -39,6 +39,22 @@ def test_query(spark, duck, name):
     assert got == sorted(tuple(shown(r[names.index(c)]) for c in sorted(names)) for r in rows.fetchall())
 
 
+def test_found_rows_do_not_pass_the_driver(spark, monkeypatch):
+    kind, fetched = type(spark.range(1)), [0]
+    collect = kind.collect
+
+    def counted(df):
+        rows = collect(df)
+        fetched.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", counted)
+    df = catalogue.QUERIES["db_text_search"](spark, SF)
+    assert max(fetched) < 20 < df.count()
+    rows = [(-r.score, r.k) for r in collect(df)]
+    assert rows == sorted(rows)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 2
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

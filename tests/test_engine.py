@@ -390,6 +390,31 @@ def test_postings_follow_every_write(db):
     assert [(r["_id"], round(r["_score"], 9)) for r in db.text_search("t", "spark words w3")] == [(r._id, round(r._score, 9)) for r in text_search(db.table("t"), ["s"], "spark words w3").collect()]
 
 
+def test_a_search_without_a_limit_is_a_dataframe(db, monkeypatch):
+    from docquill import engine
+    from docquill.operators.search import text_search
+
+    db.insert_many("t", [{"s": f"w{k % 3} spark " * (k % 4)} for k in range(12)])
+    db.create_text_index("t", ["s"])
+    want = [(r["_id"], round(r["_score"], 9)) for r in text_search(db.table("t"), ["s"], "spark w1", 100).collect()]
+    shown = lambda rows: [(r["_id"], round(r["_score"], 9)) for r in rows]
+    assert len(want) == 9 and shown(db.text_search_df("t", "spark w1").collect()) == want == shown(db.text_search("t", "spark w1", 100))
+    assert shown(db.text_search_df("t", "spark w1", 4).collect()) == want[:4] and db.text_search_df("t", "nothing").count() == 0
+    monkeypatch.setattr(engine, "LISTED", 2)
+    assert shown(db.text_search("t", "spark w1", 5)) == want[:5] and set(db.text_search("t", "spark w1", 5)[0]) == {"_id", "_version", "s", "_score"}
+
+
+def test_postings_are_made_where_rows_lie(spark):
+    from docquill.operators.search import row_postings, text_index
+
+    rows = [(1, "b a1 b the b", ["b", None, "zz"]), (2, None, None), (3, "the a", []), (4, "\u00c4\u00e9 x \u00e4\u00e9 k9", ["k9"]), (5, "", ["one"])]
+    df = spark.createDataFrame(rows, "_id bigint, s string, a array<string>")
+    found = row_postings(df, ["s", "a"], ["_id"])
+    key = lambda r: (r._id, r.term, r.tf, r.doc_len)
+    assert sorted(map(key, found.collect())) == sorted(map(key, text_index(df, ["s", "a"], ["_id"]).collect()))
+    assert "Exchange" not in found.sortWithinPartitions("term")._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot_product"])
 def test_vector_cells_are_exact(db, spark, monkeypatch, metric):
     """The index finds what a scan finds, through every kind of write; it reads a part of the cells."""
