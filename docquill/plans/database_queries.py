@@ -197,10 +197,11 @@ def _watch(spark: SparkSession, d: str, db: Engine) -> DataFrame:
     stream, name = db.watch(None, {"orders": last - 1}), f"watched_{uuid.uuid4().hex}"
     db.insert("later", {"x": 1})
     _written(db)
-    query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{db.root}/_watch").start()
+    counts = stream.groupBy("collection", "operation").agg(F.count(F.lit(1)).alias("n"))  # the stream counts: the driver holds a row per kind of event
+    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{db.root}/_watch").start()
     query.processAllAvailable()
     query.stop()
-    rows = [tuple(r) for r in spark.table(name).groupBy("collection", "operation").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row per kind of event
+    rows = [tuple(r) for r in spark.table(name).collect()]
     spark.catalog.dropTempView(name)
     return spark.createDataFrame(rows, "collection string, operation string, n bigint")
 

@@ -55,6 +55,17 @@ def test_found_rows_do_not_pass_the_driver(spark, monkeypatch):
     assert rows == sorted(rows)
 
 
+def test_watched_events_do_not_pass_the_driver(spark, monkeypatch):
+    from pyspark.sql.streaming import DataStreamWriter
+
+    begin, streams = DataStreamWriter.start, []
+    monkeypatch.setattr(DataStreamWriter, "start", lambda *a, **more: streams.append(begin(*a, **more)) or streams[-1])
+    df = catalogue.QUERIES["db_watch"](spark, SF)
+    assert df.groupBy().sum("n").first()[0] > 500
+    sunk = [p["sink"]["numOutputRows"] for q in streams for p in q.recentProgress]
+    assert sunk and max(sunk) <= 4
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 2
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
